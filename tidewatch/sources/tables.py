@@ -27,21 +27,21 @@ def event_transactions(spark: SparkSession, folder: str, customers: int | None =
                        devices: int | None = None) -> DataFrame:
     """The event stream as payments; `customers` and `devices` fold ids into fewer, busier entities."""
     events = table(spark, folder, "events")
-    user = F.col("user_id")
+    user, event = F.col("user_id"), F.col("event_id")
     currency = (F.when(F.col("event_type") == "click", "USD").when(F.col("event_type") == "view", "EUR")
                 .when(F.col("event_type") == "purchase", "SGD").when(F.col("event_type") == "signup", "XXX")
                 .otherwise("GBP"))
+    network = F.when(event % 20 == 0, event % 40 / 20 + 5).otherwise(user % 5 + 1).cast("int")
     return finish(events.select(
-        F.col("event_id").cast("string").alias("transaction_id"),
+        event.cast("string").alias("transaction_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         (user if customers is None else user % customers).cast("string").alias("customer_id"),
         pick(COUNTRIES, user).alias("customer_portfolio_country"),
         F.get_json_object("props", "$.k").alias("receiver_account"),
         F.col("event_type").alias("tpp_name_ud"),
-        (user % (devices or 4)).cast("string").alias("device_fingerprint"),
-        F.concat(F.lit("51."), (F.col("event_id") % 6 + 1).cast("string"), F.lit("."),
-                 (user % 3).cast("string"), F.lit("."), (F.col("event_id") % 9).cast("string"))
-         .alias("ip_address"),
+        (F.floor(user / 2) if devices is None else user % devices).cast("string").alias("device_fingerprint"),
+        F.concat_ws(".", F.lit("51"), network.cast("string"), (user % 3).cast("string"),
+                    (event % 9).cast("string")).alias("ip_address"),
         F.col("value").alias("amount"),
         currency.alias("currency"),
         (F.col("event_type") == "error").cast("int").alias("declined"),
@@ -99,18 +99,34 @@ def ip_countries(spark: SparkSession, folder: str) -> DataFrame:
 def listed(spark: SparkSession, folder: str) -> DataFrame:
     """Members of the five lists, with the time from which each entry counts."""
     c, s, e = (table(spark, folder, t) for t in ("customer", "supplier", "events"))
-    rich = c.filter(F.col("c_acctbal") > 8000).select(
-        F.lit("vip_customers").alias("list_name"), F.col("c_custkey").cast("string").alias("member"))
-    poor = c.filter(F.col("c_acctbal") < -500).select(
-        F.lit("watchlist").alias("list_name"), F.col("c_custkey").cast("string").alias("member"))
-    bad = s.filter(F.col("s_acctbal") < -500).select(
-        F.lit("bl_accounts").alias("list_name"), F.col("s_suppkey").cast("string").alias("member"))
-    proxies = e.filter(F.col("event_id") % 54 == 0).select(
-        F.lit("proxy_ips").alias("list_name"),
-        F.concat(F.lit("51.1."), (F.col("user_id") % 3).cast("string"), F.lit(".0")).alias("member"))
-    devices = e.filter((F.col("event_type") == "error") & (F.col("value") > 300)).select(
-        F.lit("bl_devices").alias("list_name"), (F.col("user_id") % 4).cast("string").alias("member"))
-    whole = rich.unionByName(poor).unionByName(bad).unionByName(proxies).unionByName(devices)
-    return whole.distinct().withColumn(
-        "valid_from", F.timestamp_millis(F.unix_millis(F.lit("2024-01-01").cast("timestamp"))
-                                         + F.pmod(F.length("member") * 7, F.lit(30)).cast("long") * 86_400_000))
+
+    def entries(df: DataFrame, name: str, member: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("list_name"), member.cast("string").alias("member"))
+
+    whole = (entries(c.filter(F.col("c_acctbal") > 9000), "vip_customers", F.col("c_custkey"))
+             .unionByName(entries(c.filter(F.col("c_acctbal") < -900), "watchlist", F.col("c_custkey")))
+             .unionByName(entries(s.filter(F.col("s_acctbal") < -900), "bl_accounts", F.col("s_suppkey")))
+             .unionByName(entries(e.filter((F.col("event_type") == "error") & (F.col("value") > 300)),
+                                  "bl_devices", F.floor(F.col("user_id") / 2)))
+             .unionByName(entries(e.filter(F.col("event_id") % 540 == 0), "proxy_ips",
+                                  F.concat(F.lit("51.5."), (F.col("user_id") % 3).cast("string"),
+                                           F.lit(".0")))))
+    start = F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    days = F.pmod(F.length("member") * 7 + F.length("list_name"), F.lit(30)).cast("long")
+    return whole.distinct().withColumn("valid_from", F.timestamp_millis(start + days * 86_400_000))
+
+
+def scored_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with a score in [0, 1), an outcome and two model versions' view, for evaluation."""
+    e = table(spark, folder, "events")
+    return e.select(
+        F.col("event_id").cast("string").alias("transaction_id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+        F.get_json_object("props", "$.k").alias("receiver_account"),
+        F.floor(F.col("user_id") / 2).cast("string").alias("device_fingerprint"),
+        (F.pmod(F.round(F.col("value") * 37), F.lit(100)) / 100).alias("score"),
+        ((F.col("event_type") == "purchase") & (F.col("value") > 50)).cast("int").alias("label"),
+        F.col("value").alias("amount_base"),
+        (F.col("event_id") % 5).alias("device_distinct_customers"),
+        (F.col("event_id") % 10).cast("int").alias("round"),
+        F.concat(F.lit("writer-"), (F.col("user_id") % 7).cast("string")).alias("producer"))
