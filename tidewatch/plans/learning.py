@@ -110,13 +110,13 @@ def train_linear(rows: DataFrame, features: Sequence[str], version: str, label:
 
 
 def train_trees(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES, label: str = "y", seed: int = 0,
-                rounds: int = 200, depth: int = 5, rate: float = 0.1) -> PipelineModel:
+                trees: int = 200, depth: int = 5, rate: float = 0.1) -> PipelineModel:
     """Balanced boosted trees. The training rows are written once, since every round reads them."""
     ready = pinned(with_class_weights(rows, label).select(
         *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label), "weight"))
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="x"),
-        GBTClassifier(featuresCol="x", labelCol=label, weightCol="weight", maxIter=rounds, stepSize=rate,
+        GBTClassifier(featuresCol="x", labelCol=label, weightCol="weight", maxIter=trees, stepSize=rate,
                       maxDepth=depth, seed=seed)]).fit(ready)
 
 
