@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.values import ratio
-from tidewatch.operators.skew import LANE, Lanes, SkewPolicy, all_lanes, running
+from tidewatch.operators.skew import SkewPolicy, all_lanes, running
 
 
 def score_groups(scored: DataFrame, score: str = "score", label: str = "label",
-                 amount: str = "amount_base", policy: SkewPolicy | None = None) -> Lanes:
+                 amount: str = "amount_base", policy: SkewPolicy | None = None) -> DataFrame:
     """One row per distinct score with outcome counts and amounts, and the counts below that score."""
     fraud = F.col(label) == 1
     money = F.col(amount) if amount in scored.columns else F.lit(0.0)
@@ -20,15 +20,15 @@ def score_groups(scored: DataFrame, score: str = "score", label: str = "label",
         F.sum(F.when(fraud, money)).alias("pos_amount"), F.sum(F.when(~fraud, money)).alias("neg_amount"))
     lanes = running(all_lanes(groups, ["score"], policy), [], ["score"],
                     {"pos_below": ("sum", F.col("pos")), "neg_below": ("sum", F.col("neg"))})
-    return lanes.with_df(lanes.df.fillna(0, ["pos_below", "neg_below"]))
+    return lanes.map(lambda df, by: df.fillna(0, ["pos_below", "neg_below"])).done()
 
 
-def totals(groups: Lanes) -> tuple[int, int]:
-    row = groups.df.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+def totals(groups: DataFrame) -> tuple[int, int]:
+    row = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     return row.p or 0, row.n or 0
 
 
-def quantile(groups: Lanes, share: float) -> float | None:
+def quantile(groups: DataFrame, share: float) -> float | None:
     """Linearly interpolated quantile: reads the two order statistics around it."""
     n = sum(totals(groups))
     if n == 0:
@@ -37,7 +37,7 @@ def quantile(groups: Lanes, share: float) -> float | None:
     low, high = math.floor(place), math.ceil(place)
     below = F.col("pos_below") + F.col("neg_below")
     upto = below + F.col("pos") + F.col("neg")
-    found = (groups.df.filter(((below <= low) & (upto > low)) | ((below <= high) & (upto > high)))
+    found = (groups.filter(((below <= low) & (upto > low)) | ((below <= high) & (upto > high)))
              .select("score").orderBy("score").collect())
     first, last = found[0].score, found[-1].score
     return first + (place - low) * (last - first)
@@ -59,7 +59,7 @@ def average_precision(positives: int, negatives: int) -> Column:
 def ranking_quality(scored: DataFrame, policy: SkewPolicy | None = None, **columns) -> DataFrame:
     groups = score_groups(scored, policy=policy, **columns)
     p, n = totals(groups)
-    return groups.df.agg(roc_auc(p, n).alias("roc_auc"), average_precision(p, n).alias("pr_auc"),
+    return groups.agg(roc_auc(p, n).alias("roc_auc"), average_precision(p, n).alias("pr_auc"),
                          F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
@@ -74,7 +74,7 @@ def metrics_at_budget(scored: DataFrame, budget: float, policy: SkewPolicy | Non
     p, n = totals(groups)
     threshold = quantile(groups, 1.0 - budget)
     hit = F.col("score") >= F.lit(threshold)
-    sums = groups.df.agg(
+    sums = groups.agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(hit, 0).otherwise(F.col("pos"))).alias("fn"),
@@ -138,5 +138,5 @@ def zscores(rows: DataFrame, columns: list[str]) -> dict[str, Column]:
 def ranks(rows: DataFrame, order: list[str], policy: SkewPolicy | None = None) -> DataFrame:
     """Position of every row in a total order, from 1; `order` must not tie."""
     lanes = running(all_lanes(rows, order, policy), [], order, {"rank": ("sum", F.lit(1))})
-    return lanes.df.withColumn("rank", F.coalesce("rank", F.lit(0)).cast("long") + 1).drop(LANE)
+    return lanes.done().withColumn("rank", F.coalesce("rank", F.lit(0)).cast("long") + 1)
 

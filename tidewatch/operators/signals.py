@@ -90,24 +90,25 @@ def with_cadence(txns: DataFrame, positions: dict[str, tuple[int, int | None]] |
     """
     positions = positions or {}
     memory = max([guards.event_memory, *[p + 1 for p, _ in positions.values()]])
-    lanes = lend(into_lanes(txns, CUSTOMER, ARRIVAL, heavy), CUSTOMER, ARRIVAL, memory, [])
-    order = Window.partitionBy(*lanes.by, *CUSTOMER).orderBy(*ARRIVAL)
     ms = F.col("ms")
-    df = lanes.df.withColumn("_gap", ms - F.lag("ms").over(order))
-    recent = order.rowsBetween(-(guards.event_memory - 1), -1)
-    events = F.count("ms").over(order.rowsBetween(-guards.event_memory, -1))
-    spread, mean = F.stddev_pop("_gap").over(recent), F.avg("_gap").over(recent)
-    made = {"_events": events, "_spread": spread, "_mean": mean}
-    made.update({f"_at_{name}": F.lag("ms", position + 1).over(order)
-                 for name, (position, _) in positions.items()})
-    df = df.withColumns(made).filter(~F.col(BORROWED))
     out = {"interarrival_cv": F.when((F.col("_events") >= guards.gap_events) & (F.col("_mean") > 0),
                                      quotient(F.col("_spread"), F.col("_mean")))
            .otherwise(SAFE_DEFAULTS["interarrival_cv"])}
     for name, (_, age) in positions.items():
         at = F.col(f"_at_{name}")
         out[name] = F.timestamp_millis(at if age is None else F.when(at >= ms - age * 1000, at))
-    return lanes.with_df(df.withColumns(out).drop("_gap", BORROWED, *made)).done()
+
+    def gaps(df: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by, *CUSTOMER).orderBy(*ARRIVAL)
+        recent = order.rowsBetween(-(guards.event_memory - 1), -1)
+        made = {"_events": F.count("ms").over(order.rowsBetween(-guards.event_memory, -1)),
+                "_spread": F.stddev_pop("_gap").over(recent), "_mean": F.avg("_gap").over(recent)}
+        made.update({f"_at_{name}": F.lag("ms", position + 1).over(order)
+                     for name, (position, _) in positions.items()})
+        return (df.withColumn("_gap", ms - F.lag("ms").over(order)).withColumns(made)
+                .filter(~F.col(BORROWED)).withColumns(out).drop("_gap", BORROWED, *made))
+
+    return lend(into_lanes(txns, CUSTOMER, ARRIVAL, heavy), CUSTOMER, ARRIVAL, memory).map(gaps).done()
 
 
 # --- customers -------------------------------------------------------------------------------------

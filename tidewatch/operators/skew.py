@@ -8,7 +8,7 @@ it through a carry with at most one row per lane boundary.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -67,40 +67,39 @@ def find_heavy(df: DataFrame, *key_sets: Sequence[str], policy: SkewPolicy | Non
 
 @dataclass(frozen=True)
 class Lanes:
-    """Rows whose heavy keys are spread over lanes; `split` is False when there are none."""
+    """Rows in two parts: `light` keys are whole, heavy keys (`wide`) are spread over lanes."""
 
-    df: DataFrame
-    split: bool
+    light: DataFrame | None
+    wide: DataFrame | None = None
 
-    @property
-    def by(self) -> list[str]:
-        return [LANE] if self.split else []
-
-    def with_df(self, df: DataFrame) -> "Lanes":
-        return Lanes(df, self.split)
+    def map(self, change: Callable[[DataFrame, list[str]], DataFrame]) -> "Lanes":
+        """Applies `change(rows, by)` to both parts; windows partition by `by` and the key."""
+        return Lanes(None if self.light is None else change(self.light, []),
+                     None if self.wide is None else change(self.wide, [LANE]))
 
     def done(self) -> DataFrame:
-        return self.df.drop(LANE)
+        parts = [p for p in (self.light, None if self.wide is None else self.wide.drop(LANE)) if p is not None]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def ranged(df: DataFrame, order: Sequence[str], lanes: int) -> DataFrame:
     """Rows in `lanes` ranges of `order`; written once so that the ranges cannot move between reads."""
-    return pinned(df.repartitionByRange(lanes, *order)
-                  .withColumn(LANE, F.spark_partition_id() + 1))
+    written = pinned(df.repartitionByRange(lanes, *order).withColumn("_range", F.spark_partition_id()))
+    return written.withColumn(LANE, F.col("_range") + 1).drop("_range")
 
 
 def into_lanes(df: DataFrame, keys: Sequence[str], order: Sequence[str], heavy: HeavyKeys) -> Lanes:
     hashes = heavy.of(keys)
     if not hashes:
-        return Lanes(df, False)
+        return Lanes(df)
     is_heavy = F.xxhash64(*keys).isin(*hashes)
-    wide = ranged(df.filter(is_heavy), [*keys, *order], lane_count(df, heavy.policy))
-    return Lanes(df.filter(~is_heavy).withColumn(LANE, F.lit(0)).unionByName(wide), True)
+    return Lanes(df.filter(~is_heavy),
+                 ranged(df.filter(is_heavy), [*keys, *order], lane_count(df, heavy.policy)))
 
 
 def all_lanes(df: DataFrame, order: Sequence[str], policy: SkewPolicy | None = None) -> Lanes:
     """One total order over all rows, for ranks and quantiles."""
-    return Lanes(ranged(df, order, lane_count(df, policy or SkewPolicy())), True)
+    return Lanes(None, ranged(df, order, lane_count(df, policy or SkewPolicy())))
 
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -112,18 +111,19 @@ def running(lanes: Lanes, keys: Sequence[str], order: Sequence[str],
 
     Null where there is no earlier row.
     """
-    window = (Window.partitionBy(*lanes.by, *keys).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    local = lanes.df.withColumns({name: _COMBINE[fn](value).over(window)
-                                  for name, (fn, value) in measures.items()})
-    if not lanes.split:
-        return lanes.with_df(local)
-
-    before = (Window.partitionBy(*keys).orderBy(LANE)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    totals = (lanes.df.filter(F.col(LANE) > 0).groupBy(LANE, *keys)
-              .agg(*[_COMBINE[fn](value).alias(name) for name, (fn, value) in measures.items()],
-                   F.count("*").alias("_n")))
+    def local(df: DataFrame, by: list[str]) -> DataFrame:
+        window = (Window.partitionBy(*by, *keys).orderBy(*order)
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumns({name: _COMBINE[fn](value).over(window) for name, (fn, value) in measures.items()})
+
+    out = lanes.map(local)
+    if lanes.wide is None:
+        return out
+
+    before = Window.partitionBy(*keys).orderBy(LANE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = lanes.wide.groupBy(LANE, *keys).agg(
+        *[_COMBINE[fn](value).alias(name) for name, (fn, value) in measures.items()],
+        F.count("*").alias("_n"))
     # A range boundary cuts one key, so at most one key per lane has rows in earlier lanes.
     carry = totals.select(
         F.col(LANE).alias("_cl"), *[F.col(k).alias(f"_ck_{k}") for k in keys],
@@ -132,40 +132,36 @@ def running(lanes: Lanes, keys: Sequence[str], order: Sequence[str],
     match = F.col(LANE) == F.col("_cl")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_ck_{k}"))
-    joined = local.join(F.broadcast(carry), match, "left")
+    joined = out.wide.join(F.broadcast(carry), match, "left")
     merged = {}
     for name, (fn, _) in measures.items():
         here, there = F.col(name), F.col(f"_c_{name}")
         if fn == "sum":
-            both = F.when(here.isNull(), there).otherwise(here + F.coalesce(there, F.lit(0)))
-        elif fn == "min":
-            both = F.least(here, there)
+            merged[name] = F.when(here.isNull(), there).otherwise(here + F.coalesce(there, F.lit(0)))
         else:
-            both = F.greatest(here, there)
-        merged[name] = both
+            merged[name] = (F.least if fn == "min" else F.greatest)(here, there)
     extra = ["_cl", "_cn", *[f"_ck_{k}" for k in keys], *[f"_c_{name}" for name in measures]]
-    return lanes.with_df(joined.withColumns(merged).drop(*extra))
+    return Lanes(out.light, joined.withColumns(merged).drop(*extra))
 
 
-def lend(lanes: Lanes, keys: Sequence[str], order: Sequence[str], k: int,
-         columns: Sequence[str]) -> Lanes:
+def lend(lanes: Lanes, keys: Sequence[str], order: Sequence[str], k: int) -> Lanes:
     """Puts the last `k` earlier rows of each key in front of every lane, marked as borrowed.
 
     Frames of at most `k` preceding rows are then right inside one lane; drop borrowed rows after use.
+    Borrowed rows carry key and order columns only.
     """
-    if not lanes.split:
-        return lanes.with_df(lanes.df.withColumn(BORROWED, F.lit(False)))
+    own = lanes.map(lambda df, by: df.withColumn(BORROWED, F.lit(False)))
+    if lanes.wide is None:
+        return own
     latest = Window.partitionBy(LANE, *keys).orderBy(*[F.desc(c) for c in order])
-    held = [*order, *[c for c in columns if c not in order]]
-    tails = (lanes.df.filter(F.col(LANE) > 0).withColumn("_r", F.row_number().over(latest))
+    tails = (lanes.wide.select(LANE, *keys, *order).withColumn("_r", F.row_number().over(latest))
              .filter(F.col("_r") <= k).groupBy(LANE, *keys)
-             .agg(F.sort_array(F.collect_list(F.struct(*held))).alias("_tail")))
-    # Every lane holds a row of the key at least, so the k lanes before are enough.
+             .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_tail")))
+    # Every lane of a key holds at least one of its rows, so the k lanes before are enough.
     earlier = Window.partitionBy(*keys).orderBy(LANE).rowsBetween(-k, -1)
+    held = F.size("_all")
     lent = (tails.withColumn("_all", F.flatten(F.collect_list("_tail").over(earlier)))
-            .withColumn("_all", F.when(F.size("_all") > 0, F.slice(
-                F.col("_all"), -F.greatest(F.least(F.size("_all"), F.lit(k)), F.lit(1)), F.lit(k))))
-            .filter(F.col("_all").isNotNull())
+            .filter(held > 0)
+            .withColumn("_all", F.slice("_all", -F.greatest(F.least(held, F.lit(k)), F.lit(1)), F.lit(k)))
             .select(LANE, *keys, F.inline("_all")).withColumn(BORROWED, F.lit(True)))
-    own = lanes.df.withColumn(BORROWED, F.lit(False))
-    return lanes.with_df(own.unionByName(lent, allowMissingColumns=True))
+    return Lanes(own.light, own.wide.unionByName(lent, allowMissingColumns=True))

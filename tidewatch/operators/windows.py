@@ -88,7 +88,7 @@ def with_idle_members(rows: DataFrame, entity: str, member: str, idle_ms: int, n
     lanes = into_lanes(rows, [entity], ARRIVAL, heavy)
     lanes = running(lanes, [entity], ARRIVAL, {"_last": ("max", F.col("ms"))})
     opens = F.col("_last").isNull() | (F.col("ms") - F.col("_last") >= idle_ms)
-    lanes = lanes.with_df(lanes.df.withColumn("_opened", F.when(opens, F.col("ms"))))
+    lanes = lanes.map(lambda df, by: df.withColumn("_opened", F.when(opens, F.col("ms"))))
     lanes = running(lanes, [entity], ARRIVAL, {"_since": ("max", F.col("_opened"))})
     flat = lanes.done().withColumn("_since", F.coalesce("_opened", "_since"))
     pair = (entity, member)
@@ -97,7 +97,7 @@ def with_idle_members(rows: DataFrame, entity: str, member: str, idle_ms: int, n
     flat = flat.withColumn("_fresh", F.when(fresh, 1).otherwise(0))
     lanes = running(into_lanes(flat, [entity], ARRIVAL, heavy), [entity], ARRIVAL,
                     {"_sum": ("sum", F.col("_fresh"))})
-    lanes = lanes.with_df(lanes.df.withColumn("_sum", zero(F.col("_sum"))))
+    lanes = lanes.map(lambda df, by: df.withColumn("_sum", zero(F.col("_sum"))))
     lanes = running(lanes, [entity], ARRIVAL,
                     {"_base": ("max", F.when(F.col("_opened").isNotNull(), F.col("_sum")))})
     alive = F.col("_last").isNotNull() & (F.col("ms") - F.col("_last") < idle_ms)

@@ -64,7 +64,7 @@ LISTS = """
       UNION SELECT 'watchlist', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < -900
       UNION SELECT 'bl_accounts', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal < -900
       UNION SELECT 'bl_devices', CAST(user_id // 2 AS VARCHAR) FROM events WHERE event_type = 'error' AND value > 300
-      UNION SELECT 'proxy_ips', '51.5.' || (user_id % 3) || '.0' FROM events WHERE event_id % 540 = 0),
+      UNION SELECT 'proxy_ips', '51.5.' || (user_id % 3) || '.0' FROM events WHERE value > 250),
     lists AS (SELECT list_name, member, epoch_ms(TIMESTAMP '2024-01-01') +
         ((length(member) * 7 + length(list_name)) % 30) * 86400000 AS from_ms FROM entries)"""
 

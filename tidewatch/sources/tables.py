@@ -108,7 +108,7 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
              .unionByName(entries(s.filter(F.col("s_acctbal") < -900), "bl_accounts", F.col("s_suppkey")))
              .unionByName(entries(e.filter((F.col("event_type") == "error") & (F.col("value") > 300)),
                                   "bl_devices", F.floor(F.col("user_id") / 2)))
-             .unionByName(entries(e.filter(F.col("event_id") % 540 == 0), "proxy_ips",
+             .unionByName(entries(e.filter(F.col("value") > 250), "proxy_ips",
                                   F.concat(F.lit("51.5."), (F.col("user_id") % 3).cast("string"),
                                            F.lit(".0")))))
     start = F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
