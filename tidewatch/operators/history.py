@@ -33,15 +33,16 @@ class Measure:
 
 @dataclass(frozen=True)
 class Feature:
-    """`bucket` columns are evaluated on the bucket table, after `helper` columns; `row` on the joined row.
+    """`bucket` columns are windows over the bucket table; `late` columns are windows over those.
 
-    In `row`, `now(m)` is the running part of measure m and bucket columns appear under their names.
+    In `row`, `now(m)` is the running part of measure m and the table's columns appear under their names.
     """
 
     name: str
     row: Column
     bucket: Mapping[str, Column] = field(default_factory=dict)
-    helper: Mapping[str, Column] = field(default_factory=dict)
+    late: Mapping[str, Column] = field(default_factory=dict)
+    hidden: Sequence[str] = ()   # bucket columns that only `late` reads
 
 
 @dataclass(frozen=True)
@@ -173,9 +174,14 @@ def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Se
     """Adds `features` of the entity `keys` to `rows`. `source` is the full history the rows are part of."""
     table = bucket_table(source, keys, measures, distincts)
     every = [*features, *[distinct_feature(d, keys) for d in distincts]]
-    bucket_columns = {name: column for f in every for name, column in f.bucket.items()}
-    table = table.withColumns({name: column for f in every for name, column in f.helper.items()})
-    table = table.select(*keys, TICK, *[c.alias(n) for n, c in bucket_columns.items()])
+    early = {name: column for f in every for name, column in f.bucket.items()}
+    late = {name: column for f in every for name, column in f.late.items()}
+    hidden = {name for f in every for name in f.hidden}
+    table = table.withColumns(early)
+    if late:
+        table = table.withColumns(late)
+    bucket_columns = [c for c in (*early, *late) if c not in hidden]
+    table = table.select(*keys, TICK, *bucket_columns)
 
     here = {f"_p_{m.name}": (m.fn, m.value) for m in measures}
     here.update({f"_p_in_{d.name}": ("sum", enters_now(d, keys)) for d in distincts})

@@ -130,12 +130,10 @@ def _zscore_feature(keys, guards: Guards) -> Feature:
     return Feature("amount_zscore_90d", row, part)
 
 
-def whole_buckets(keys, unit: str, *measures: str) -> dict[str, Column]:
-    """Totals of the bucket of `unit` around a table row, and a mark on one row of each filled bucket."""
-    group = Window.partitionBy(*keys, f"_{unit}")
-    first = F.row_number().over(group.orderBy(TICK)) == 1
-    return {f"_{unit}_filled": F.when(first & (F.sum("n").over(group) > 0), 1).otherwise(0),
-            **{f"_{unit}_{m}": F.sum(m).over(group) for m in measures}}
+def filled_mark(keys, unit: str) -> Column:
+    """1 on the first table row with traffic of each bucket of `unit`, else 0."""
+    earlier = zero(F.sum("n").over(earlier_in(keys, unit)))
+    return F.when((F.col("n") > 0) & (earlier == 0), 1).otherwise(0)
 
 
 def _velocity_features(keys, guards: Guards) -> list[Feature]:
@@ -144,33 +142,31 @@ def _velocity_features(keys, guards: Guards) -> list[Feature]:
     same_hour = (Window.partitionBy(*keys, F.pmod("_hour", F.lit(24))).orderBy("_hour")
                  .rangeBetween(-167, -1))
     bucket = {
+        "_vh_mark": filled_mark(keys, "hour"),
         "_vh_now": zero(F.sum("n").over(earlier_in(keys, "hour"))),
         "_v5_prev": bucket_sum(keys, "n", "tick", -1, -1),
-        "_vh_prev": bucket_sum(keys, "n", "hour", -1, -1),
         "_vh_sum": bucket_sum(keys, "n", "hour", -167, -1),
-        "_vh_cnt": bucket_sum(keys, "_hour_filled", "hour", -167, -1),
         "_vh_edge": bucket_sum(keys, "n", "hour", -168, -168),
         "_vh_hod": zero(F.sum("n").over(same_hour)),
-        "_vh_last": F.collect_list(F.when(F.col("_hour_filled") == 1, F.struct("_hour", "_hour_n")))
-                     .over(between(keys, "hour", -6, -1)),
+        **{f"_vh_{i}": bucket_sum(keys, "n", "hour", -i, -i) for i in range(1, 7)},
     }
+    late = {"_vh_cnt": bucket_sum(keys, "_vh_mark", "hour", -167, -1)}
     # A bucket that starts exactly one window ago still counts, which only a boundary instant can meet.
     hour_edge = times.on_boundary(ms, "hour")
     edge = F.when(hour_edge, zero(F.col("_vh_edge"))).otherwise(0)
     current = zero(F.col("_vh_now")) + amount_now("n")
     total = zero(F.col("_vh_sum")) + edge + current
     populated = zero(F.col("_vh_cnt")) + (edge > 0).cast("int") + (current > 0).cast("int")
-    rate_1h = current + F.when(hour_edge, zero(F.col("_vh_prev"))).otherwise(0)
+    rate_1h = current + F.when(hour_edge, zero(F.col("_vh_1"))).otherwise(0)
     rate_5m = amount_now("n") + F.when(times.on_boundary(ms, "tick"), zero(F.col("_v5_prev"))).otherwise(0)
     baseline = quotient(total, populated)
     speaks = (populated >= guards.baseline_hours) & (total > 0)
-    oldest = times.index(ms, "hour") - F.when(hour_edge, 6).otherwise(5)
     limit = baseline * guards.elevated_factor
-    recent = F.filter("_vh_last", lambda b: (b["_hour"] >= oldest) & (b["_hour_n"] > limit))
-    high = (F.when(F.col("_vh_last").isNull(), 0).otherwise(F.size(recent))
-            + (current > limit).cast("int"))
+    high = (current > limit).cast("int") + (hour_edge & (zero(F.col("_vh_6")) > limit)).cast("int")
+    for i in range(1, 6):
+        high = high + (zero(F.col(f"_vh_{i}")) > limit).cast("int")
     return [
-        Feature("customer_txn_rate_5m", rate_5m, bucket, whole_buckets(keys, "hour", "n")),
+        Feature("customer_txn_rate_5m", rate_5m, bucket, late, ("_vh_mark",)),
         Feature("customer_txn_rate_1h", rate_1h),
         Feature("velocity_ratio_1h", F.when(speaks, quotient(rate_1h, baseline)).otherwise(0.0)),
         Feature("velocity_elevated_hours", F.when(speaks, high).otherwise(0)),
@@ -186,29 +182,43 @@ def _dormancy_feature(keys) -> Feature:
 
 
 def _trend_feature(keys, guards: Guards) -> Feature:
-    """Slope of the weekly average amount over the populated weeks of 56 days, as a share of its mean."""
-    week = F.struct("_week", quotient(F.col("_week_s"), F.col("_week_n")).alias("avg"))
-    bucket = {
-        "_wk_list": F.sort_array(F.collect_list(F.when(F.col("_week_filled") == 1, week))
-                                 .over(between(keys, "week", -8, -1))),
-        "_wk_n": zero(F.sum("n").over(earlier_in(keys, "week"))),
-        "_wk_s": F.coalesce(F.sum("s").over(earlier_in(keys, "week")), F.lit(0.0)),
-    }
-    ms = F.col("ms")
-    oldest = times.index(ms, "week") - F.when(times.on_boundary(ms, "week"), 8).otherwise(7)
+    """Slope of the weekly average amount over the populated weeks of 56 days, as a share of its mean.
+
+    The table holds the sums of the seven weeks before; the running week joins at the end, and a week
+    that starts exactly 56 days ago at the front, which moves every later week up by one.
+    """
+    weeks = range(7, 0, -1)
+    bucket = {f"_wk_{m}{i}": bucket_sum(keys, m, "week", -i, -i) for m in ("n", "s") for i in (8, *weeks)}
+    bucket["_wk_n"] = zero(F.sum("n").over(earlier_in(keys, "week")))
+    bucket["_wk_s"] = F.coalesce(F.sum("s").over(earlier_in(keys, "week")), F.lit(0.0))
+
+    def mean(i: int) -> Column:
+        return F.coalesce(quotient(F.col(f"_wk_s{i}"), F.col(f"_wk_n{i}")), F.lit(0.0))
+
+    def filled(i: int) -> Column:
+        return (F.col(f"_wk_n{i}") > 0).cast("int")
+
+    place, sum_y, sum_xy = F.lit(0), F.lit(0.0), F.lit(0.0)
+    for i in weeks:
+        sum_y = sum_y + mean(i)
+        sum_xy = sum_xy + mean(i) * place
+        place = place + filled(i)
+    late = {"_wk_cnt": place, "_wk_y": sum_y, "_wk_xy": sum_xy, "_wk_first": mean(8), "_wk_edge": filled(8)}
+
+    edge = times.on_boundary(F.col("ms"), "week") & (zero(F.col("_wk_edge")) == 1)
     n_now, s_now = zero(F.col("_wk_n")) + amount_now("n"), zero(F.col("_wk_s")) + amount_now("s")
-    weeks = F.transform(F.filter("_wk_list", lambda w: w["_week"] >= oldest), lambda w: w["avg"])
-    weeks = F.coalesce(weeks, F.array().cast("array<double>"))
-    weeks = F.when(n_now > 0, F.concat(weeks, F.array(quotient(s_now, n_now)))).otherwise(weeks)
-    count = F.size(weeks).cast("double")
-    add = lambda total, y: total + y                                        # noqa: E731
-    sum_y = F.aggregate(weeks, F.lit(0.0), add)
-    sum_xy = F.aggregate(F.transform(weeks, lambda y, i: y * i), F.lit(0.0), add)
+    y_now = F.coalesce(quotient(s_now, n_now), F.lit(0.0))
+    before = zero(F.col("_wk_cnt")) + edge.cast("int")
+    old_y = zero(F.col("_wk_y"))
+    count = (before + (n_now > 0).cast("int")).cast("double")
+    sum_y = old_y + F.when(edge, F.col("_wk_first")).otherwise(0.0) + y_now
+    sum_xy = zero(F.col("_wk_xy")) + F.when(edge, old_y).otherwise(0.0) + y_now * before
     sum_x = count * (count - 1) / 2
     sum_xx = count * (count - 1) * (2 * count - 1) / 6
     slope = quotient(count * sum_xy - sum_x * sum_y, count * sum_xx - sum_x * sum_x)
     row = F.when((count >= guards.trend_weeks) & (sum_y > 0), quotient(slope * count, sum_y)).otherwise(0.0)
-    return Feature("amount_trend", row, bucket, whole_buckets(keys, "week", "n", "s"))
+    return Feature("amount_trend", row, bucket, late,
+                   [f"_wk_{m}{i}" for m in ("n", "s") for i in (8, *weeks)])
 
 
 def customer_measures() -> list[Measure]:

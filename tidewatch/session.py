@@ -16,7 +16,9 @@ def build_session(app: str = "tidewatch", cores: int | None = None, **conf: str)
         builder = (builder.master(f"local[{cores}]")
                    .config("spark.driver.memory", os.environ.get("TIDEWATCH_MEMORY", "16g"))
                    .config("spark.ui.enabled", "false")
-                   .config("spark.sql.shuffle.partitions", str(cores)))
+                   .config("spark.sql.shuffle.partitions", str(cores))
+                   # Small local inputs should still use every core.
+                   .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
