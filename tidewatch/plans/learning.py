@@ -26,6 +26,8 @@ from tidewatch.sources.files import read_parquet
 # Gate and cap of a training run, and its sampling seed.
 MIN_POSITIVES, SAMPLE_CAP, SAMPLE_SEED = 20, 1_000_000, 42
 
+VECTOR = "_features"
+
 REGISTRY = T.StructType([
     T.StructField("version", T.StringType()), T.StructField("role", T.StringType()),
     T.StructField("path", T.StringType()), T.StructField("features", T.ArrayType(T.StringType())),
@@ -101,8 +103,8 @@ def train_linear(rows: DataFrame, features: Sequence[str], version: str, label:
     scaled = with_class_weights(rows, label).select(
         F.col(label).cast("double").alias(label), "weight",
         *[((F.col(f) - stats[f]["mean"]) / stats[f]["std"]).alias(f) for f in features])
-    packed = VectorAssembler(inputCols=list(features), outputCol="x").transform(scaled)
-    fitted = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", standardization=False,
+    packed = VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(scaled)
+    fitted = LogisticRegression(featuresCol=VECTOR, labelCol=label, weightCol="weight", standardization=False,
                                 maxIter=200, tol=1e-8).fit(packed)
     return LinearModel(version, tuple(features), tuple(stats[f]["mean"] for f in features),
                        tuple(stats[f]["std"] for f in features),
@@ -115,8 +117,8 @@ def train_trees(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES, label
     ready = pinned(with_class_weights(rows, label).select(
         *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label), "weight"))
     return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="x"),
-        GBTClassifier(featuresCol="x", labelCol=label, weightCol="weight", maxIter=trees, stepSize=rate,
+        VectorAssembler(inputCols=list(features), outputCol=VECTOR),
+        GBTClassifier(featuresCol=VECTOR, labelCol=label, weightCol="weight", maxIter=trees, stepSize=rate,
                       maxDepth=depth, seed=seed)]).fit(ready)
 
 
@@ -124,7 +126,7 @@ def with_probability(model: PipelineModel, rows: DataFrame, name: str = "score")
     ready = rows.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0))
                               for f in model.stages[0].getInputCols()})
     scored = model.transform(ready).withColumn(name, vector_to_array("probability")[1])
-    return scored.drop("x", "rawPrediction", "probability", "prediction")
+    return scored.drop(VECTOR, "rawPrediction", "probability", "prediction")
 
 
 # --- registry ------------------------------------------------------------------------------------

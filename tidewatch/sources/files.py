@@ -48,7 +48,7 @@ def proxy_addresses(spark: SparkSession, path: str) -> DataFrame:
 def as_transactions(requests: DataFrame) -> DataFrame:
     """Request columns as transaction columns."""
     return requests.withColumnRenamed("timestamp", "ts").withColumns({
-        "ms": F.unix_millis("timestamp"), "amount_base": to_base(F.col("amount"), F.col("currency")),
+        "ms": F.unix_millis("ts"), "amount_base": to_base(F.col("amount"), F.col("currency")),
         "declined": F.lit(0), "event_kind": F.lit("payment")})
 
 
