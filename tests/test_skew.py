@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tidewatch.config import LINEAR_MODEL, Config
+from tidewatch.config import LINEAR_MODEL, Config, MetricDef
 from tidewatch.operators import ranking, signals
-from tidewatch.operators.metrics import with_metrics
+from tidewatch.operators.metrics import key_sets, with_metrics
 from tidewatch.operators.signals import KEY_SETS, Guards
 from tidewatch.operators.skew import HeavyKeys, SkewPolicy, find_heavy, into_lanes, lend, running
 from tidewatch.operators.windows import (replay_decisions, with_idle_count, with_idle_members, with_recent_count,
@@ -98,6 +98,18 @@ def test_metrics_windows_and_gaps_are_the_same_on_lanes(txns, heavy):
     assert table(build(heavy)) == table(build(HeavyKeys()))
 
 
+def test_metrics_of_a_single_busy_entity_are_the_same_on_lanes(txns):
+    metrics = tuple(MetricDef(f"m_{agg}_{i}", entity, "streaming_aggregate", "last_24h", agg=agg, field=field)
+                    for i, (entity, agg, field) in enumerate([
+                        (("tpp_name_ud",), "sum", "amount_base"), (("customer_portfolio_country",), "count", "amount_base"),
+                        (("tpp_name_ud",), "distinct_count", "customer_id"),
+                        (("receiver_account", "customer_portfolio_country"), "stddev", "amount_base")]))
+    config = Config(metrics=metrics)
+    heavy = find_heavy(txns, *KEY_SETS, *key_sets(config), policy=TINY)
+    assert heavy.of(("tpp_name_ud",)) and heavy.of(("customer_id", "tpp_name_ud"))
+    assert table(with_metrics(txns, txns, config, heavy)) == table(with_metrics(txns, txns, config))
+
+
 def test_exact_windows_match_brute_force(txns):
     rows = with_recent_count(txns, ["customer_id"], 3_600_000, "recent")
     rows = with_recent_members(rows, "receiver_account", "customer_id", 86_400_000, "senders").collect()

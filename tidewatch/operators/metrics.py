@@ -128,6 +128,12 @@ def check(config: Config) -> None:
             raise ValueError(f"unknown metric type {m.type!r} in {m.metric_id}")
 
 
+def key_sets(config: Config) -> list[tuple[str, ...]]:
+    """Key sets whose heavy keys matter to the configured metrics."""
+    sets = [m.entity for m in config.metrics]
+    return [*sets, *[(*m.entity, m.field) for m in config.metrics if m.agg == "distinct_count"]]
+
+
 def with_metrics(rows: DataFrame, source: DataFrame, config: Config = Config(),
                  heavy: HeavyKeys = HeavyKeys()) -> DataFrame:
     """Adds every configured metric. The plain pair count has no expiry and comes from the pair state."""

@@ -43,8 +43,9 @@ class Guards:
     elevated_factor: float = 2.0
 
 
-def heavy_keys(txns: DataFrame, **policy) -> HeavyKeys:
-    return find_heavy(txns, *KEY_SETS, **policy)
+def heavy_keys(txns: DataFrame, more: Sequence[Sequence[str]] = (), **policy) -> HeavyKeys:
+    """Heavy keys of all signal entities and of `more` key sets."""
+    return find_heavy(txns, *dict.fromkeys([*KEY_SETS, *map(tuple, more)]), **policy)
 
 
 def amount() -> Column:

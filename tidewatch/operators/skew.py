@@ -40,7 +40,12 @@ class HeavyKeys:
     hashes: Mapping[tuple[str, ...], tuple[int, ...]] = field(default_factory=dict)
 
     def of(self, keys: Sequence[str]) -> tuple[int, ...]:
-        return self.hashes.get(tuple(keys), ())
+        return self.hashes.get(tuple(sorted(keys)), ())
+
+
+def key_hash(keys: Sequence[str]) -> Column:
+    """The same for every order of the key columns."""
+    return F.xxhash64(*sorted(keys))
 
 
 def find_heavy(df: DataFrame, *key_sets: Sequence[str], policy: SkewPolicy | None = None) -> HeavyKeys:
@@ -53,7 +58,7 @@ def find_heavy(df: DataFrame, *key_sets: Sequence[str], policy: SkewPolicy | Non
     most = 2 * lane_count(df, policy)
     rows = df if policy.sample >= 1.0 else df.sample(fraction=policy.sample, seed=7)
     tagged = rows.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("set"), F.xxhash64(*keys).alias("hash"))
+        F.struct(F.lit(i).alias("set"), key_hash(keys).alias("hash"))
         for i, keys in enumerate(key_sets)])).alias("k"))
     rank = Window.partitionBy("set").orderBy(F.desc("n"), "hash")
     found = (tagged.groupBy("k.set", "k.hash").agg(F.count("*").alias("n"))
@@ -61,7 +66,7 @@ def find_heavy(df: DataFrame, *key_sets: Sequence[str], policy: SkewPolicy | Non
              .withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= most)
              .select("set", "hash").collect())
     return HeavyKeys(policy, {
-        tuple(keys): tuple(r["hash"] for r in found if r["set"] == i)
+        tuple(sorted(keys)): tuple(r["hash"] for r in found if r["set"] == i)
         for i, keys in enumerate(key_sets)})
 
 
@@ -92,7 +97,7 @@ def into_lanes(df: DataFrame, keys: Sequence[str], order: Sequence[str], heavy:
     hashes = heavy.of(keys)
     if not hashes:
         return Lanes(df)
-    is_heavy = F.xxhash64(*keys).isin(*hashes)
+    is_heavy = key_hash(keys).isin(*hashes)
     return Lanes(df.filter(~is_heavy),
                  ranged(df.filter(is_heavy), [*keys, *order], lane_count(df, heavy.policy)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatch.config import Config, MetricDef, WindowDef
 from tidewatch.operators import signals
 from tidewatch.operators.history import attach
-from tidewatch.operators.metrics import with_metrics
+from tidewatch.operators.metrics import key_sets, with_metrics
 from tidewatch.operators.signals import Guards, heavy_keys
 from tidewatch.operators.windows import (replay_decisions, with_idle_count, with_idle_members,
                                          with_recent_count, with_recent_members)
@@ -29,7 +29,7 @@ def metric_query(*metrics: MetricDef, windows=(), orders: bool = False, digits:
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         txns = order_transactions(spark, folder) if orders else event_transactions(spark, folder)
-        return rounded(with_metrics(txns, txns, config, heavy_keys(txns)), *[m.metric_id for m in metrics],
+        return rounded(with_metrics(txns, txns, config, heavy_keys(txns, key_sets(config))), *[m.metric_id for m in metrics],
                        digits=digits)
     return run
 

@@ -54,6 +54,12 @@ LABEL = T.StructType([
     T.StructField("device_fingerprint", T.StringType()),
 ])
 
+ENTRY = T.StructType([
+    T.StructField("list_name", T.StringType()),
+    T.StructField("member", T.StringType()),
+    T.StructField("valid_from", T.TimestampType()),
+])
+
 CUSTOMER = "customer_id string, customer_portfolio_country string, account_open_date date, risk_segment string"
 PAYEE = "receiver_account string, country string, is_mule_pattern boolean"
 TPP = "tpp_name_ud string, typical_country string"

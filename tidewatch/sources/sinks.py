@@ -24,4 +24,4 @@ def write_labels(labels: DataFrame, path: str) -> None:
 
 
 def write_entries(entries: DataFrame, path: str) -> None:
-    entries.select("list_name", "member", "valid_from").write.mode("append").parquet(path)
+    entries.select(*schemas.ENTRY.fieldNames()).write.mode("append").parquet(path)
