@@ -29,6 +29,8 @@ from tidewatch.llm.text import map_batches, raw, shingle_set, values
 SLOTS, CHUNK = 1 << 20, 1 << 14
 #: Bits of the table that tells which sets must be kept for verification: 1 MB whatever the corpus size.
 NEEDED_BITS = 1 << 23
+#: Shingles shared by at most so many groups are paired to tell which sets need verification; the groups of others all do.
+PAIRED = 64
 
 
 def _counters(docs: DataFrame, width: int) -> np.ndarray:
@@ -123,8 +125,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     nodes = kept(rows.where("n > 0").groupBy("node", "n", "grp").agg(F.min("doc_id").alias("least")), "nodes")
     groups = rows.where("n > 0").groupBy("grp", "n").agg(F.first("prefix").alias("prefix"))
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    posted = kept(posted.join(shared, "token").select("token", "grp", "n", "pos"), "shared")
+    shared = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    posted = kept(posted.join(shared, "token").select("token", "many", "grp", "n", "pos"), "shared")
     lead = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "grp")).alias("lead"))
 
     def passes(na: str, pa_: str, nb: str, pb: str) -> F.Column:
@@ -143,7 +145,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     inside = nodes.join(face.select("grp", F.col("node").alias("b")), "grp").where("node != b").select(F.col("node").alias("a"), "b")
     star = kept(star.union(inside), "star")
 
-    members = posted.select("grp").distinct().union(nodes.groupBy("grp").count().where("count > 1").select("grp"))
+    few = posted.where(F.col("many") <= PAIRED).select("token", "grp", "n", "pos")
+    near = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp"))
+                               & passes("x.n", "x.pos", "y.n", "y.pos")) \
+        .select(F.explode(F.array("x.grp", "y.grp")).alias("grp"))
+    members = near.union(posted.where(F.col("many") > PAIRED).select("grp")).union(
+        nodes.groupBy("grp").count().where("count > 1").select("grp"))
     wanted = spark.sparkContext.broadcast(_needed(nodes.join(members.distinct(), "grp").select("node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -8,7 +8,12 @@ from tidewatch.session import scratch
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as Parquet below spark.checkpoint.dir and read again."""
+    """`df`, written as Parquet below spark.checkpoint.dir and read again.
+
+    Spark drops the shuffle files of a finished query once the driver collects its garbage; asking for that here keeps
+    the disk to one step's files.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
