@@ -2,13 +2,16 @@
 
 The steps: (1) a fixed-size counter table gives every shingle a frequency class; shingles are ordered by class, then
 hash, which is one order for the whole corpus. (2) Documents with the same set size and the same prefix fall into one
-group, and only groups post their prefix. (3) Postings that no other group shares go. (4) Each shared shingle links
-its groups to the one where it stands first; verified links form first components, so a large family of copies costs
-as many checks as it has members. (5) Group pairs that share a shingle, pass the size and position filters and still
-lie in different components are expanded to members and verified. (6) Components give the classes.
-
-Every link either joins two members of one component by other links or is verified itself, so no component is split.
-The counter table only changes the order, hence the speed.
+group, and only groups post their prefix. (3) Postings that no other group shares go. (4) Groups that meet in a shingle of few groups
+become candidates if they pass the size and position filters and share as many prefix shingles as a link must: of a
+prefix's tokens all but (size - needed overlap) are common to both, where shingles of many groups, which are not
+paired here, count as common. (5) A shingle of many groups links each of them to the one where it stands first.
+(6) Candidates are expanded to members and verified; links form first components, so a large family of copies costs as
+many checks as it has members. (7) Pairs that share a shingle of many groups, pass the filters and still lie in
+different components are verified. (8) Components give the classes.
+
+Every link is verified itself or joins two members of one component, so no component is split. The counter table and
+PAIRED change the order of work, not the result.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.graph import components
 from tidewatch.llm.store import kept
-from tidewatch.llm.text import map_batches, raw, shingle_set, values
+from tidewatch.llm.text import map_batches, shingle_sets, values
 
 #: Counters of the frequency table: 4 MB whatever the corpus size. Their chunks are summed by Spark.
 SLOTS, CHUNK = 1 << 20, 1 << 14
 #: Bits of the table that tells which sets must be kept for verification: 1 MB whatever the corpus size.
 NEEDED_BITS = 1 << 23
-#: Shingles shared by at most so many groups are paired to tell which sets need verification; the groups of others all do.
+#: A shingle of at most so many groups pairs them directly; others go by way of components.
 PAIRED = 64
 
 
@@ -40,8 +43,8 @@ def _counters(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total, waiting, size = np.zeros(SLOTS, np.uint64), [], 0
         for batch in batches:
-            for text in raw(batch, "text"):
-                waiting.append((shingle_set(text, width) >> shift).astype(np.int64))
+            for found in shingle_sets(batch.column(0), width):
+                waiting.append((found >> shift).astype(np.int64))
                 size += len(waiting[-1])
                 if size > SLOTS:
                     total += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.uint64)
@@ -110,8 +113,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             out: dict = {k: [] for k in ("doc_id", "n", "node", "grp", "prefix")}
-            for doc, text in zip(values(batch, "doc_id"), raw(batch, "text")):
-                tokens = ordered(shingle_set(text, width), classes.value)
+            for doc, found in zip(values(batch, "doc_id"), shingle_sets(batch.column(1), width)):
+                tokens = ordered(found, classes.value)
                 prefix = tokens[:len(tokens) - (percent * len(tokens) + 99) // 100 + 1]
                 out["doc_id"].append(doc)
                 out["n"].append(len(tokens))
@@ -127,38 +130,58 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     posted = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
     posted = kept(posted.join(shared, "token").select("token", "many", "grp", "n", "pos"), "shared")
-    lead = posted.groupBy("token").agg(F.min(F.struct("pos", "n", "grp")).alias("lead"))
+
+    def needed(na: str, nb: str) -> F.Column:
+        """The least overlap of two linked sets of these sizes."""
+        return F.floor((percent * (F.col(na) + F.col(nb)) + 99 + percent) / (100 + percent))
 
     def passes(na: str, pa_: str, nb: str, pb: str) -> F.Column:
         """Size filter, and whether the tokens from the shared one on can still make up the needed overlap."""
-        a, b = F.expr(na), F.expr(nb)
-        need = F.ceil(percent * (a + b) / F.lit(100 + percent) - F.lit(1e-9))
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & \
-            (F.least(a - F.expr(pa_), b - F.expr(pb)) >= need)
-
-    # one representative set per group for the first, star-shaped round
-    face = nodes.groupBy("grp").agg(F.min("node").alias("node"))
-    star = posted.join(lead, "token").where("grp != lead.grp").where(passes("n", "pos", "lead.n", "lead.pos")) \
-        .select("grp", F.col("lead.grp").alias("other")).distinct()
-    star = star.join(face, "grp").join(face.select(F.col("grp").alias("other"), F.col("node").alias("b")), "other") \
-        .select(F.col("node").alias("a"), "b")
-    inside = nodes.join(face.select("grp", F.col("node").alias("b")), "grp").where("node != b").select(F.col("node").alias("a"), "b")
-    star = kept(star.union(inside), "star")
-
-    few = posted.where(F.col("many") <= PAIRED).select("token", "grp", "n", "pos")
-    near = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp"))
-                               & passes("x.n", "x.pos", "y.n", "y.pos")) \
-        .select(F.explode(F.array("x.grp", "y.grp")).alias("grp"))
-    members = near.union(posted.where(F.col("many") > PAIRED).select("grp")).union(
-        nodes.groupBy("grp").count().where("count > 1").select("grp"))
-    wanted = spark.sparkContext.broadcast(_needed(nodes.join(members.distinct(), "grp").select("node")))
+        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & \
+            (F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) >= needed(na, nb))
+
+    # shingles of few groups: all pairs that share enough of them
+    few = posted.where(F.col("many") <= PAIRED).join(
+        posted.groupBy("grp").agg(F.sum((F.col("many") > PAIRED).cast("int")).alias("frequent")), "grp")
+    few = few.select("token", "grp", "n", "pos", "frequent")
+    met = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp"))
+                              & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    met = met.groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h"), F.col("x.n").alias("ng"), F.col("y.n").alias("nh"),
+                      F.least("x.frequent", "y.frequent").alias("frequent")).agg(
+        F.count("*").alias("both"), F.max(passes("x.n", "x.pos", "y.n", "y.pos")).alias("passes"))
+
+    def beyond(n: str) -> F.Column:
+        """How many tokens a prefix has beyond those a partner may lack."""
+        prefix = F.col(n) - F.floor((percent * F.col(n) + 99) / 100) + 1
+        return prefix - F.col(n) + needed("ng", "nh")
+
+    pairs = met.where("passes").where(F.col("both") + F.col("frequent") >= F.least(beyond("ng"), beyond("nh"))).select("g", "h")
+    # frequent shingles: every group against the one where the shingle stands first
+    often = posted.where(F.col("many") > PAIRED)
+    lead = often.groupBy("token").agg(F.min(F.struct("pos", "n", "grp")).alias("lead"))
+    star = often.join(lead, "token").where("grp != lead.grp").where(passes("n", "pos", "lead.n", "lead.pos")) \
+        .select(F.col("grp").alias("g"), F.col("lead.grp").alias("h")).distinct()
+    # groups to members; groups of several sets: every member against the first
+    member = nodes.select("grp", "node")
+    face = member.groupBy("grp").agg(F.min("node").alias("face"), F.count("*").alias("sets"))
+    star = star.join(face.select(F.col("grp").alias("g"), F.col("face").alias("a")), "g") \
+        .join(face.select(F.col("grp").alias("h"), F.col("face").alias("b")), "h").select("a", "b")
+    pairs = pairs.join(member.select(F.col("grp").alias("g"), F.col("node").alias("a")), "g") \
+        .join(member.select(F.col("grp").alias("h"), F.col("node").alias("b")), "h").select("a", "b")
+    inside = member.join(face.where("sets > 1"), "grp").where("node != face").select(F.col("node").alias("a"), F.col("face").alias("b"))
+    first = kept(star.union(pairs).union(inside).distinct(), "first")
+
+    members = first.select(F.explode(F.array("a", "b")).alias("node")).union(
+        often.select("grp").distinct().join(member, "grp").select("node")).union(
+        member.join(face.where("sets > 1"), "grp").select("node"))
+    wanted = spark.sparkContext.broadcast(_needed(members))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
         for batch in batches:
             out: dict = {"node": [], "tokens": []}
-            for text in raw(batch, "text"):
-                tokens = ordered(shingle_set(text, width), classes.value)
+            for found in shingle_sets(batch.column(0), width):
+                tokens = ordered(found, classes.value)
                 node = xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
                 bit = node % NEEDED_BITS
                 if len(tokens) and wanted.value[bit >> 3] >> (bit & 7) & 1 and node not in seen:
@@ -178,12 +201,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         return met.withColumn("both", both).where(
             100 * F.col("both") >= percent * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
 
-    links = kept(verified(star), "links")
+    links = kept(verified(first), "links")
     root = components(links)
 
     # what is left: pairs in different components
     placed = nodes.join(root, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
-    left = posted.select("token", "grp", "n", "pos").join(placed, "grp")
+    left = often.select("token", "grp", "n", "pos").join(placed, "grp")
     split = left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
     left = kept(left.join(split, "token"), "left")
     x, y = left.alias("x"), left.alias("y")
