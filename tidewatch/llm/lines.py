@@ -20,9 +20,8 @@ from tidewatch.llm.store import kept
 THRESHOLD = 2
 #: Shorter lines (in code points) are compared for equality only: two edits leave nothing of them.
 MIN_CHARS = 16
-#: Letters whose numbers are compared before two lines are paired, in whole lines and in their first FRONT_CHARS code
-#: points; each number is kept modulo 128, in 7 bits of one long.
-WHOLE, FRONT, FRONT_CHARS = "eaton", "eatr", 96
+#: Letters whose numbers are compared before two lines are paired; each is kept modulo 32, in 5 bits of one long.
+LETTERS = "eatonrishdlu"
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -61,26 +60,20 @@ def _probed(threshold: int, min_chars: int) -> Column:
 
 
 def _letter_counts() -> Column:
-    counts = []
-    for text, letters in ((F.col("line"), WHOLE), (F.substring("line", 1, FRONT_CHARS), FRONT)):
-        size = F.octet_length(text)
-        counts += [((size - F.octet_length(F.replace(text, F.lit(x), F.lit("")))) % 128).cast("long") for x in letters]
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, 7 * k) for k, c in enumerate(counts)])
+    size = F.octet_length("line")
+    counts = [((size - F.octet_length(F.replace(F.col("line"), F.lit(x), F.lit("")))) % 32).cast("long") for x in LETTERS]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, 5 * k) for k, c in enumerate(counts)])
 
 
 def _near_counts(a: str, b: str, threshold: int) -> Column:
-    """Whether neither line has more than `threshold` letters beyond the other's, in whole and in front.
-
-    An edit adds and removes one letter at most; one that moves the end of the front also takes in and drops one at most.
-    """
+    """Whether neither line has more than `threshold` letters beyond the other's, as an edit adds and removes one at most."""
     def differ(k: int) -> Column:
-        return (F.shiftright(a, 7 * k).bitwiseAND(127) - F.shiftright(b, 7 * k).bitwiseAND(127) + 64).bitwiseAND(127) - 64
+        return (F.shiftright(a, 5 * k).bitwiseAND(31) - F.shiftright(b, 5 * k).bitwiseAND(31) + 16).bitwiseAND(31) - 16
 
-    def beyond(sign: int, places: range) -> Column:
-        return reduce(lambda x, y: x + y, [F.greatest(sign * differ(k), F.lit(0)) for k in places])
+    def beyond(sign: int) -> Column:
+        return reduce(lambda x, y: x + y, [F.greatest(sign * differ(k), F.lit(0)) for k in range(len(LETTERS))])
 
-    whole, front = range(len(WHOLE)), range(len(WHOLE), len(WHOLE) + len(FRONT))
-    return reduce(lambda x, y: x & y, [beyond(sign, places) <= threshold for places in (whole, front) for sign in (1, -1)])
+    return (beyond(1) <= threshold) & (beyond(-1) <= threshold)
 
 
 def within_edits(left: str, right: str, threshold: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text of a block, documents summed as one step, slots of a period (more with many sources).
-BLOCK, STEP, PERIOD = 1 << 20, 20_000, 1000
+BLOCK, STEP, PERIOD = 1 << 20, 4000, 1000
 #: Sources whose totals the driver plans with; beyond that, an error asks for coarser ones.
 MOST_SOURCES = 10_000
 
