@@ -5,7 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from tidewatch.queries.check import compare
+from tests.check import compare
 
 SOME = ["entity_counts_1h", "order_distinct_senders_90d", "velocity_baseline", "device_surge", "dated_membership_flags",
         "score_events", "training_set", "metrics_at_budget", "member_list_scan", "stream_deduplicate"]

@@ -183,7 +183,9 @@ def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Se
     bucket_columns = [c for c in (*early, *late) if c not in hidden]
     table = table.select(*keys, TICK, *bucket_columns)
 
-    here = {f"_p_{m.name}": (m.fn, m.value) for m in measures}
+    # rows without a key are no entity: they see no bucket and none of one another
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    here = {f"_p_{m.name}": (m.fn, F.when(known, m.value)) for m in measures}
     here.update({f"_p_in_{d.name}": ("sum", enters_now(d, keys)) for d in distincts})
     lanes = into_lanes(rows.withColumn(TICK, times.index(F.col("ms"), "tick")), keys, ARRIVAL, heavy)
     joined = (running(lanes, [*keys, TICK], ARRIVAL, here).done()

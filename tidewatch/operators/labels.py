@@ -57,8 +57,10 @@ def block_candidates(labels: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("evidence"), F.min("labeled_at_ms").alias("since_ms")))
 
 
-def strongest(candidates: DataFrame, limit: int = ENTRIES_PER_BATCH) -> DataFrame:
-    """At most `limit` entries per list, most evidence first: a guard against poisoned label feeds."""
+def strongest(candidates: DataFrame, limit: int | None = ENTRIES_PER_BATCH) -> DataFrame:
+    """At most `limit` entries per list (None: all), most evidence first: a guard against poisoned label feeds."""
+    if limit is None:
+        return candidates
     parts = [candidates.filter(F.col("list_name") == name).orderBy(F.desc("evidence"), "member").limit(limit)
              for name in ("bl_accounts", "bl_devices")]
     return parts[0].unionByName(parts[1])

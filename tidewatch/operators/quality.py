@@ -118,6 +118,7 @@ def expectations(rows: DataFrame, joint: Sequence[str] = JOINT, blunt: str = "de
         ratio(F.count_if(F.col("kind") == "lookalike"), F.greatest(F.lit(1), F.count_if(~fraud)))
          .alias("lookalike_frac_of_legit"))
     checks = checks.withColumns({k: F.lit(v).cast("double") for k, v in aucs.items()})
+    # The names of the checks and their limits.
     tests = {
         "imbalance_realistic": F.col("fraud_rate").between(0.003, 0.03),
         "joint_learnable": F.col("joint_auc").between(0.80, 0.985),

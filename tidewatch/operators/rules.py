@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException, ParseException
@@ -12,20 +13,35 @@ from tidewatch.functions.values import sigmoid
 from tidewatch.operators.refjoin import any_of
 
 
+LOG = logging.getLogger(__name__)
+
+
 def fires(blank: DataFrame, rule: RuleDef) -> Column:
     """The rule as a boolean that is never null; a condition that does not resolve never fires."""
     try:
         blank.select(F.expr(rule.condition).cast("boolean"))
-    except (AnalysisException, ParseException):
+    except (AnalysisException, ParseException) as problem:
+        LOG.warning("rule %s does not resolve and never fires: %s", rule.rule_id, problem)
         return F.lit(False)
     return F.coalesce(F.expr(rule.condition).cast("boolean"), F.lit(False))
 
 
 def with_rules(rows: DataFrame, rules: Sequence[RuleDef] = RULES) -> DataFrame:
-    """Adds `rules_fired`, `hard_block`, `hard_allow` and `soft_score`."""
+    """Adds `rules_fired`, `hard_block`, `hard_allow` and `soft_score`.
+
+    Conditions are bound with ANSI mode off: a division by zero or a text that is no number gives null in its row, and a
+    null condition does not fire. The other rules of the row, and the job, go on.
+    """
+    conf, mode = rows.sparkSession.conf, "spark.sql.ansi.enabled"
+    strict = conf.get(mode)
     known = [r for r in rules if r.type in ("hard_block", "hard_allow", "soft")]
     blank = rows.sparkSession.createDataFrame([], rows.schema)
-    flags = {f"_rule_{i}": fires(blank, r) for i, r in enumerate(known)}
+    conf.set(mode, "false")
+    try:
+        flags = {f"_rule_{i}": fires(blank, r) for i, r in enumerate(known)}
+        rows = rows.withColumns(flags)
+    finally:
+        conf.set(mode, strict)
     hit = {r.rule_id: F.col(name) for r, name in zip(known, flags)}
     soft = F.lit(0.0)
     for r in known:
@@ -33,7 +49,7 @@ def with_rules(rows: DataFrame, rules: Sequence[RuleDef] = RULES) -> DataFrame:
             soft = soft + F.when(hit[r.rule_id], float(r.weight or 0.0)).otherwise(0.0)
     names = [F.when(hit[r.rule_id], F.lit(r.rule_id)) for r in known]
     fired = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
-    return rows.withColumns(flags).withColumns({
+    return rows.withColumns({
         "rules_fired": fired,
         "hard_block": any_of([hit[r.rule_id] for r in known if r.type == "hard_block"]),
         "hard_allow": any_of([hit[r.rule_id] for r in known if r.type == "hard_allow"]),

@@ -31,13 +31,15 @@ def with_recent_count(rows: DataFrame, keys: Sequence[str], span_ms: int, name:
     both = marked.unionByName(markers, allowMissingColumns=True)
     counted = running(into_lanes(both, keys, MOMENT, heavy), keys, MOMENT,
                       {"_seen": ("sum", F.when(F.col("_turn") == ARRIVES, 1).otherwise(0))}).done()
-    # A row and its marker meet again by id; exactly one of each exists, so `first` is exact.
+    # A row and its marker meet again by entity and id; a second row of the same id in one entity is an error.
     arrived = F.col("_turn") == ARRIVES
     kept = [c for c in rows.columns]
-    both = counted.groupBy("_id").agg(
-        F.first(F.when(arrived, F.struct(*kept, F.col("_seen").alias("_upto"))), ignorenulls=True).alias("r"),
+    both = counted.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], "_id").agg(
+        F.count(F.when(arrived, 1)).alias("_rows"), F.first(F.when(arrived, F.struct(*kept, F.col("_seen").alias("_upto"))), ignorenulls=True).alias("r"),
         F.max(F.when(~arrived, F.col("_seen"))).alias("_before"))
-    return both.select("r.*", "_before").withColumn(
+    once = F.when(F.col("_rows") == 1, F.col("r")).otherwise(
+        F.raise_error(F.concat(F.lit("transaction id repeats in one entity: "), "_id")))
+    return both.select(once.alias("r"), "_before").select("r.*", "_before").withColumn(
         name, (zero(F.col("_upto")) - zero(F.col("_before"))).cast("long")).drop("_upto", "_before")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -141,17 +142,23 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 def register(spark: SparkSession, path: str, version: str, role: str, model_path: str,
              features: Sequence[str], n_train: int, pos: int, trained_at_ms: int) -> None:
     """Adds an entry after its model is saved, so a reader never meets a model that is not there."""
-    last = registry(spark, path).agg(F.max("seq")).first()[0]
-    entry = [(version, role, model_path, list(features), n_train, pos, trained_at_ms, (last or 0) + 1)]
-    spark.createDataFrame(entry, REGISTRY).coalesce(1).write.mode("append").parquet(path)
+    _append(spark, path, [(version, role, model_path, list(features), n_train, pos, trained_at_ms)])
+
+
+def _append(spark: SparkSession, path: str, entries: list[tuple]) -> None:
+    """All entries in one file of one write, so a reader sees all of them or none."""
+    last = registry(spark, path).agg(F.max("seq")).first()[0] or 0
+    rows = [(*e, last + k + 1) for k, e in enumerate(entries)]
+    spark.createDataFrame(rows, REGISTRY).coalesce(1).write.mode("append").parquet(path)
 
 
 def promote(spark: SparkSession, path: str, version: str) -> None:
-    """Makes `version` the champion and retires the one before."""
-    for r in registry(spark, path).filter((F.col("role") == "champion") & (F.col("version") != version)).collect():
-        register(spark, path, r.version, "retired", r.path, r.features, r.n_train, r.pos, r.trained_at_ms)
-    r = registry(spark, path).filter(F.col("version") == version).first()
-    register(spark, path, version, "champion", r.path, r.features, r.n_train, r.pos, r.trained_at_ms)
+    """Makes `version` the champion and retires the one before, in one write: there is a champion at any time."""
+    now = registry(spark, path).filter((F.col("role") == "champion") | (F.col("version") == version)).collect()
+    if version not in [r.version for r in now]:
+        raise ValueError(f"{version} is not registered")
+    _append(spark, path, [(r.version, "champion" if r.version == version else "retired", r.path, list(r.features), r.n_train,
+                           r.pos, r.trained_at_ms) for r in now])
 
 
 def active_model(spark: SparkSession, path: str, role: str = "champion"):
@@ -160,6 +167,23 @@ def active_model(spark: SparkSession, path: str, role: str = "champion"):
     return (r[0].version, PipelineModel.load(r[0].path)) if r else None
 
 
+@dataclass(frozen=True)
+class TreeScorer:
+    """A registered tree model in the form that decide(), score() and the scoring stream take."""
+
+    version: str
+    model: PipelineModel
+
+    def with_probability(self, rows: DataFrame, name: str) -> DataFrame:
+        return with_probability(self.model, rows, name)
+
+
+def active_scorer(spark: SparkSession, path: str, role: str = "champion") -> TreeScorer | None:
+    """The newest model of a role, ready for scoring; read it again at every batch to follow promotions."""
+    found = active_model(spark, path, role)
+    return TreeScorer(*found) if found else None
+
+
 def save_linear(spark: SparkSession, model: LinearModel, path: str) -> None:
     spark.createDataFrame([(json.dumps(model.__dict__),)], "value string").coalesce(1).write.text(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -74,15 +75,29 @@ def degrade(rows: DataFrame, config: Config, feature_ok: Column, signal_ok: Colu
     return with_safe_defaults(rows, signal_ok)
 
 
-def decide(rows: DataFrame, config: Config = Config(), model: LinearModel | None = None,
+class Scorer(Protocol):
+    """Any trained model: it has a version and adds a probability column."""
+
+    version: str
+
+    def with_probability(self, rows: DataFrame, name: str) -> DataFrame: ...
+
+
+def decide(rows: DataFrame, config: Config = Config(), model: LinearModel | Scorer | None = None,
            feature_ok: Column | None = None) -> DataFrame:
+    """Rules, then the model's probability where no hard rule fired, then the bands."""
+    if model is not None and not isinstance(model, LinearModel):
+        rows = model.with_probability(rows, "_probability")
+        degraded = None if feature_ok is None else ~F.coalesce(feature_ok, F.lit(False))
+        return with_decision(with_rules(rows, config.rules), config.bands, F.col("_probability"), model.version,
+                             degraded).drop("_probability")
     probability = linear_probability(model) if model else None
     degraded = None if feature_ok is None else ~F.coalesce(feature_ok, F.lit(False))
     return with_decision(with_rules(rows, config.rules), config.bands, probability,
                          model.version if model else None, degraded)
 
 
-def score(txns: DataFrame, ref: Reference, config: Config = Config(), model: LinearModel | None = None,
+def score(txns: DataFrame, ref: Reference, config: Config = Config(), model: LinearModel | Scorer | None = None,
           heavy: HeavyKeys = HeavyKeys(), guards: Guards = Guards(), feature_ok: str | None = None,
           signal_ok: str | None = None) -> DataFrame:
     """Transactions with features, fired rules and decision.
