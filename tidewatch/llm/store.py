@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 
 from tidewatch.session import scratch
 
+#: Spark's own setting that drops a query's shuffle files when it ends, not when the driver collects its garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as Parquet below spark.checkpoint.dir and read again.
 
-    Spark drops the shuffle files of a finished query once the driver collects its garbage; asking for that here keeps
-    the disk to one step's files.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written as Parquet below spark.checkpoint.dir and read again; the write's shuffle files go when it ends."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
