@@ -45,8 +45,12 @@ def _posted(threshold: int) -> Column:
     return F.array(*out)
 
 
-def _probed(threshold: int, min_chars: int) -> Column:
-    out = []
+def _probed(threshold: int, min_chars: int) -> tuple[Column, int]:
+    """The keys a line probes, null where none fits, and how many of them, the first ones, are of lines of its length.
+
+    An array of plain expressions is compiled as a whole, which one passed through a lambda is not.
+    """
+    out, equal = [], 0
     for less in range(threshold + 1):
         length = F.col("chars") - less
         for i in range(threshold + 1):
@@ -54,9 +58,9 @@ def _probed(threshold: int, min_chars: int) -> Column:
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
                 at = start + shift
                 fits = (at >= 0) & (at + size <= F.col("chars")) & (length >= min_chars)
-                out.append(F.when(fits, F.struct(F.xxhash64(F.lit(i), length, F.substring("line", at + 1, size)).alias("key"),
-                                                 F.lit(less == 0).alias("equal"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                out.append(F.when(fits, F.xxhash64(F.lit(i), length, F.substring("line", at + 1, size))))
+        equal = equal or len(out)
+    return F.array(*out), equal
 
 
 def _letter_counts() -> Column:
@@ -120,8 +124,9 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
                               _letter_counts().alias("counts")), "lines")
     long_ = lines.where(F.col("chars") >= min_chars)
     index = long_.select(F.explode(_posted(threshold)).alias("key"), F.col("id").alias("a"), F.col("counts").alias("ca"))
-    probe = long_.select(F.explode(_probed(threshold, min_chars)).alias("p"), F.col("id").alias("b"), F.col("counts").alias("cb")) \
-        .select("p.key", "p.equal", "b", "cb")
+    keys, equal = _probed(threshold, min_chars)
+    probe = long_.select(F.posexplode(keys).alias("at", "key"), F.col("id").alias("b"), F.col("counts").alias("cb")) \
+        .where("key is not null").select("key", (F.col("at") < equal).alias("equal"), "b", "cb")
     met = index.join(probe, "key").where((F.col("a") < F.col("b")) | (~F.col("equal") & (F.col("a") != F.col("b")))) \
         .where(_near_counts("ca", "cb", threshold))
     pairs = kept(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
