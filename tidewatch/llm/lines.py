@@ -29,38 +29,44 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
 
 
-def _segment(length: Column, number: int, threshold: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, threshold: int) -> tuple[Column, Column]:
     """Start (from 0) and size of a segment of a line of this length; the last ones are longer by one."""
-    base = F.floor(length / (threshold + 1)).cast("int")
-    longer = length - base * (threshold + 1)
-    later = F.greatest(F.lit(0), F.lit(number) - (F.lit(threshold + 1) - longer))
-    return base * number + later, base + (F.lit(number) >= F.lit(threshold + 1) - longer).cast("int")
+    longer = F.pmod(length, F.lit(threshold + 1))
+    base = F.floor((length - longer) / (threshold + 1)).cast("int")
+    later = F.greatest(F.lit(0), number - (F.lit(threshold + 1) - longer))
+    return base * number + later, base + (number >= F.lit(threshold + 1) - longer).cast("int")
 
 
-def _posted(threshold: int) -> Column:
-    length, out = F.col("chars"), []
-    for i in range(threshold + 1):
-        start, size = _segment(length, i, threshold)
-        out.append(F.xxhash64(F.lit(i), length, F.substring("line", start + 1, size)))
-    return F.array(*out)
+def _posted(long_: DataFrame, threshold: int) -> DataFrame:
+    """key, a, ca: one row for every segment of a line."""
+    every = long_.select("line", "chars", F.col("id").alias("a"), F.col("counts").alias("ca"),
+                         F.explode(F.array(*[F.lit(i) for i in range(threshold + 1)])).alias("i"))
+    start, size = _segment(F.col("chars"), F.col("i"), threshold)
+    return every.select(F.xxhash64("i", "chars", F.substring("line", start + 1, size)).alias("key"), "a", "ca")
 
 
-def _probed(threshold: int, min_chars: int) -> tuple[Column, int]:
-    """The keys a line probes, null where none fits, and how many of them, the first ones, are of lines of its length.
+def _probes(threshold: int) -> list[int]:
+    """What a line probes: how much shorter the other line is, the other's segment, and how far it is shifted here.
 
-    An array of plain expressions is compiled as a whole, which one passed through a lambda is not.
+    Each is packed as ((less * 16 + segment) * 32 + shift + 16), so one small expression serves all; spelled out one by
+    one, they make a method that the JVM doesn't compile.
     """
-    out, equal = [], 0
-    for less in range(threshold + 1):
-        length = F.col("chars") - less
-        for i in range(threshold + 1):
-            start, size = _segment(length, i, threshold)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                at = start + shift
-                fits = (at >= 0) & (at + size <= F.col("chars")) & (length >= min_chars)
-                out.append(F.when(fits, F.xxhash64(F.lit(i), length, F.substring("line", at + 1, size))))
-        equal = equal or len(out)
-    return F.array(*out), equal
+    return [(less * 16 + i) * 32 + shift + 16 for less in range(threshold + 1) for i in range(threshold + 1)
+            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)]
+
+
+def _probed(long_: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """key, equal (the other line is of the same length), b, cb: one row for every substring a line probes."""
+    if not 0 <= threshold < 16:
+        raise ValueError("threshold must be from 0 to 15")
+    every = long_.select("line", "chars", F.col("id").alias("b"), F.col("counts").alias("cb"),
+                         F.explode(F.array(*[F.lit(p) for p in _probes(threshold)])).alias("p"))
+    number, less = F.shiftright("p", 5).bitwiseAND(15), F.shiftright("p", 9)
+    start, size = _segment(F.col("chars") - less, number, threshold)
+    at = start + F.col("p").bitwiseAND(31) - 16
+    fits = (at >= 0) & (at + size <= F.col("chars")) & (F.col("chars") - less >= min_chars)
+    key = F.xxhash64(number, F.col("chars") - less, F.substring("line", at + 1, size))
+    return every.where(fits).select(key.alias("key"), (less == 0).alias("equal"), "b", "cb")
 
 
 def _letter_counts() -> Column:
@@ -123,10 +129,7 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     lines = kept(found.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("chars"), "copies", "first",
                               _letter_counts().alias("counts")), "lines")
     long_ = lines.where(F.col("chars") >= min_chars)
-    index = long_.select(F.explode(_posted(threshold)).alias("key"), F.col("id").alias("a"), F.col("counts").alias("ca"))
-    keys, equal = _probed(threshold, min_chars)
-    probe = long_.select(F.posexplode(keys).alias("at", "key"), F.col("id").alias("b"), F.col("counts").alias("cb")) \
-        .where("key is not null").select("key", (F.col("at") < equal).alias("equal"), "b", "cb")
+    index, probe = _posted(long_, threshold), _probed(long_, threshold, min_chars)
     met = index.join(probe, "key").where((F.col("a") < F.col("b")) | (~F.col("equal") & (F.col("a") != F.col("b")))) \
         .where(_near_counts("ca", "cb", threshold))
     pairs = kept(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
