@@ -70,8 +70,12 @@ def _probed(long_: DataFrame, threshold: int, min_chars: int) -> DataFrame:
 
 
 def _letter_counts() -> Column:
-    size = F.octet_length("line")
-    counts = [((size - F.octet_length(F.replace(F.col("line"), F.lit(x), F.lit("")))) % 32).cast("long") for x in LETTERS]
+    """Each letter is taken out of what the letters before it have left, so later ones read less."""
+    left, counts = F.col("line"), []
+    for x in LETTERS:
+        rest = F.replace(left, F.lit(x), F.lit(""))
+        counts.append(((F.octet_length(left) - F.octet_length(rest)) % 32).cast("long"))
+        left = rest
     return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c, 5 * k) for k, c in enumerate(counts)])
 
 
