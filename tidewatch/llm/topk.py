@@ -69,21 +69,20 @@ class SortedLists:
         count = len(self.ids)
         up = query >= 0
         left = np.flatnonzero(self.ids != own)
-        lists = self.least_first * query                                # each list's parts, from one end
-        worst = np.where(up, lists[0], lists[-1])
+        part, place = self.rows[left] * query, self.rank[left]
+        worst = np.where(up, self.least_first[0], self.least_first[-1]) * query if count else query
         for depth in DEPTHS:
             if len(left) <= 4 * k:
                 break
             read = max(1, int(count * depth))
-            edge = np.where(up, lists[count - read], lists[read - 1])   # the value last read
-            place = self.rank[left]
-            seen = np.where(up, place >= count - read, place < read)
-            part = self.rows[left] * query
+            edge = np.where(up, self.least_first[count - read], self.least_first[read - 1]) * query     # the value last read
+            seen = (place >= np.where(up, count - read, 0)) & (place < np.where(up, count, read))
             low = np.where(seen, part, worst).sum(axis=1)
-            high = np.where(seen, part, edge).sum(axis=1)
+            high = low + np.where(seen, 0, edge - worst).sum(axis=1)
             bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else low.min(initial=0)
-            left = left[high >= bar]
-        final = self.rows[left] @ query
+            stay = high >= bar
+            left, part, place = left[stay], part[stay], place[stay]
+        final = part.sum(axis=1)
         best = np.lexsort([self.ids[left], -final])[:k]
         return self.ids[left][best], final[best]
 
