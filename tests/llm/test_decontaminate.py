@@ -71,3 +71,30 @@ def test_long_items_and_odd_rows(spark):
     empty = make([], "doc_id long, text string")
     assert d.contaminated(empty, make([(7, "a b c d")], "item_id long, text string")).collect() == []
     assert d.contaminated(make(docs, "doc_id long, text string"), make([], "item_id long, text string")).collect() == []
+
+
+def test_evenly_spread_edits_of_single_copies(spark):
+    """Every copy of the table of all pairs is found: each item has one, whose edits leave few runs of words whole."""
+    rng = random.Random(5)
+    edits = [lambda w, k, n: [f"r{k}"] if k % n == n - 1 else [w], lambda w, k, n: [] if k % n == n - 1 else [w],
+             lambda w, k, n: [w, f"n{k}"] if k % n == n - 1 else [w]]
+    docs, bench = [], []
+    for number, (edit, n) in enumerate([(e, n) for e in edits for n in (1, 2, 3, 4, 5)]):
+        for size in (3, 4, 24, 37, 60, 64, 100):
+            item = len(bench)
+            words = [f"i{item}x{k}" if k % 5 else "the" for k in range(size)]
+            copy = [x for k, w in enumerate(words) for x in edit(w, k, n)]
+            around = [f"o{rng.randrange(99)}" for _ in range(rng.choice([0, 70, 120, 127, 128, 200]))]
+            docs.append((item, " ".join(around + copy + ["end"] * 40)))
+            bench.append((item, " ".join(words)))
+    got = {(r.doc_id, r.item_id): round(r.score, 6) for r in d.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {}
+    for item, text in bench:
+        words = text.split()
+        for start in range(0, max(1, len(words) - d.PIECE // 2), d.PIECE // 2):
+            piece = words[start:start + d.PIECE]
+            share = smith_waterman(piece, docs[item][1].split()) / (d.MATCH * len(piece))
+            if share >= d.THRESHOLD:
+                want[item, item] = max(want.get((item, item), 0), round(share, 6))
+    assert got == want and len(want) > 70

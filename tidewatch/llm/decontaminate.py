@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare word runs of test items seed the join, local alignment scores the copies.
-
-Items are cut into pieces of bounded length. Of a piece's runs of GRAM words, the half that is rarest in the training
-corpus are its seeds; ranking within the piece keeps seeds also for an item that has leaked into many documents. Where a
-document holds a seed, the region around it is aligned with the piece (Smith and Waterman, 1981) word by word, so that
-replaced, dropped and added words lower the score without hiding the copy. Only a copy in which edits break every seed is
-out of reach.
+"""Benchmark decontamination: word pairs of test items seed the join, local alignment scores the copies.
+
+Items are cut into pieces of bounded length. A text's keys are its pairs of words that stand side by side or have one word
+between them. Alignments (Smith and Waterman, 1981) replace, drop and add words at a cost of one point each, and an equal
+word brings two: so one that scores `threshold` or more of a piece of n words has n * threshold - 1 neighbouring equal words
+with one edit between them at most, all of them common keys. Windows that share fewer keys with a piece are left out, the
+others are aligned with it. Keys that are frequent in the corpus needn't be joined as long as they are fewer than that
+number; it falls by each. The result is that of aligning every piece with every document.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,19 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import LETTER_WORDS, map_batches, runs, values, word_columns
+from tidewatch.llm.store import kept
+from tidewatch.llm.text import LETTER_WORDS, map_batches, mixed, values, word_columns
 
+#: Items of fewer words are left out.
 GRAM = 3
-#: Words of a piece; longer items are cut at half that distance. A region reaches REACH words beyond its seeds.
-PIECE, REACH = 64, 96
-#: Share of a piece's runs that are seeds, and the least number of them.
-SEEDS, LEAST = 0.5, 10
+#: Words of a piece; longer items are cut at half that distance.
+PIECE = 64
 #: Alignment: points for an equal word, a replaced word, a dropped or added word.
 MATCH, REPLACE, GAP = 2, -1, -1
 #: Share of the points of a verbatim copy from which a document counts as contaminated.
 THRESHOLD = 0.5
-#: Bits that tell which runs may be seeds: 512 KB whatever the number of items.
+#: Odd factor of a pair's first word.
+FIRST = np.uint64(0xD6E8FEB86659FD93)
+#: Bits that tell which pairs may be keys: 512 KB whatever the number of items.
 BITS = 1 << 22
+#: Bits that tell which windows are aligned: 4 MB whatever the number of documents.
+WINDOW_BITS = 1 << 25
 #: Alignments made at a time.
 LOT = 256
 
@@ -53,52 +59,79 @@ def _pieces(benchmark: DataFrame) -> DataFrame:
     return cut_items.distinct().withColumn("piece", F.xxhash64("item_id", "part", "words"))
 
 
-def _grams(pieces: DataFrame) -> DataFrame:
+def _pairs(ids: np.ndarray, gap: int) -> np.ndarray:
+    """The id of every pair of words `gap` places apart, in order of the first; the same two words have one id for any gap."""
+    return mixed(ids[:-gap] * FIRST + ids[gap:]) if len(ids) > gap else np.empty(0, np.uint64)
+
+
+def _keys(pieces: DataFrame) -> DataFrame:
+    """piece, gram, weight: the keys of every piece and the number of places that hold one."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict = {"piece": [], "gram": []}
+            out: dict = {"piece": [], "gram": [], "weight": []}
             for piece, words in zip(values(batch, "piece"), values(batch, "words")):
-                found = np.unique(runs(np.array(words, np.int64).astype(np.uint64), GRAM)).astype(np.int64)
+                own = np.array(words, np.int64).astype(np.uint64)
+                found, weight = np.unique(np.concatenate([_pairs(own, 1), _pairs(own, 2)]), return_counts=True)
                 out["piece"].extend([piece] * len(found))
-                out["gram"].extend(found.tolist())
+                out["gram"].extend(found.astype(np.int64).tolist())
+                out["weight"].extend(weight.tolist())
             yield out
 
-    return map_batches(pieces.select("piece", "words"), make, "piece long, gram long")
+    return map_batches(pieces.select("piece", "words"), make, "piece long, gram long, weight long")
 
 
-def _bits(grams: DataFrame) -> np.ndarray:
-    bit = F.pmod(F.col("gram"), F.lit(BITS)) + 1
+def _bits(grams: DataFrame, size: int = BITS) -> np.ndarray:
+    bit = F.pmod(F.col("gram"), F.lit(size)) + 1
     rows = grams.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()            # 128 rows of 4 KB at most
-    out = np.zeros(BITS // 8, np.uint8)
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()            # a row of 4 KB for 32,768 bits
+    out = np.zeros(size // 8, np.uint8)
     for row in rows:
         out[(row["at"] - 1) * 4096:row["at"] * 4096] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
 def _marked(found: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = (found & np.uint64(BITS - 1)).astype(np.int64)
+    at = (found & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
-def _seeds(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """gram, piece: the rarest runs of every piece, by their number of places in the whole corpus."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(grams))
+def _marked_pairs(column: pa.Array, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of word_columns() with the pairs that may be keys: their ids, documents (of the slice) and first words."""
+    for first, ids, bounds in word_columns(column, LETTER_WORDS):
+        gram, place, doc = [], [], []
+        for gap in (1, 2):
+            every = _pairs(ids, gap)
+            at = np.flatnonzero(_marked(every, bits))
+            own = np.searchsorted(bounds, at, "right") - 1
+            inside = at + gap < bounds[own + 1]
+            gram.append(every[at[inside]])
+            place.append(at[inside])
+            doc.append(own[inside])
+        yield first, ids, bounds, np.concatenate(gram), np.concatenate(doc), np.concatenate(place)
+
+
+def _seeds(docs: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame:
+    """gram, piece, weight, need: the keys to join, and the places of them that a window must hold.
+
+    The most frequent keys of a piece that make up half of what an alignment needs are left out, and need is less by them.
+    """
+    keys = kept(_keys(pieces), "keys")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [np.empty(0, np.uint64)]
-            for _, ids, _ in word_columns(batch.column(0), LETTER_WORDS):
-                every = runs(ids, GRAM)
-                found.append(every[_marked(every, bits.value)])
+            found = [np.empty(0, np.uint64), *[x[3] for x in _marked_pairs(batch.column(0), bits.value)]]
             gram, number = np.unique(np.concatenate(found), return_counts=True)
             yield {"gram": gram.astype(np.int64), "number": number}
 
     places = map_batches(docs.select("text"), count, "gram long, number long").groupBy("gram").agg(F.sum("number").alias("number"))
-    known = grams.join(places, "gram", "left").withColumn("number", F.coalesce("number", F.lit(0)))
-    own = Window.partitionBy("piece")                   # a piece has at most PIECE runs
-    ranked = known.withColumn("rank", F.row_number().over(own.orderBy("number", "gram"))).withColumn("all", F.count("*").over(own))
-    return ranked.where(F.col("rank") <= F.greatest(F.lit(LEAST), F.ceil(F.col("all") * SEEDS))).select("gram", "piece")
+    known = keys.join(places, "gram").join(pieces.select("piece", F.size("words").alias("size")).distinct(), "piece")
+    own = Window.partitionBy("piece").orderBy(F.desc("number"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") * threshold - 1 - 1e-9))         # a piece has 2 * PIECE keys at most
+    ranked = known.withColumn("need", need).withColumn("upto", F.sum("weight").over(own))
+    out = F.col("upto") <= F.floor(F.col("need") / 2)
+    left = F.col("need") - F.sum(F.when(out, F.col("weight")).otherwise(0)).over(Window.partitionBy("piece"))
+    return ranked.withColumn("out", out).withColumn("need", left).where(~F.col("out")).select("gram", "piece", "weight", "need")
 
 
 def align(pieces: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,41 +164,66 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     score is the alignment's share of a verbatim copy's points; of an item in pieces the best piece counts. Words are
     runs of ASCII digits, letters (A-Z lowered) and signs beyond ASCII. Null, empty and short texts (below GRAM words)
-    hold no seed and are in no row, on either side. Documents that share an id count as one, and a null id is one id;
-    of repeated rows the best counts, ties go to the earlier place. Empty tables give an empty result; further columns
-    are ignored. Texts are read whole; a document has at most one region for each REACH words.
+    are in no row, on either side. Documents that share an id count as one, and a null id is one id; of repeated rows the
+    best counts, ties go to the earlier place. Empty tables give an empty result; further columns are ignored. Nothing is
+    missed as long as a piece's words times `threshold` are more than 1. Texts are read whole, in overlapping windows.
     """
-    pieces = _pieces(benchmark)
-    grams = _grams(pieces)
-    seeds = _seeds(docs, grams)
+    pieces = kept(_pieces(benchmark), "pieces")
+    seeds = kept(_seeds(docs, pieces, threshold), "seeds")
     bits = docs.sparkSession.sparkContext.broadcast(_bits(seeds))
+    # an alignment has no more equal words than the piece, and fewer errors than pay for them: some window holds it whole
+    step = max(1, math.ceil(PIECE * (3 - 2 * threshold)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict = {"doc_id": [], "start": [], "gram": [], "print": []}
+            ids_ = batch.column(0)
+            for first, ids, bounds, gram, doc, place in _marked_pairs(batch.column(1), bits.value):
+                base = bounds[doc]
+                part = (place - base) // step
+                # a pair stands in the window that starts with its part and in the one before
+                both = np.concatenate([np.stack([doc, part]), np.stack([doc, part - 1])[:, part > 0]], axis=1)
+                grams = np.concatenate([gram, gram[part > 0]])
+                order = np.lexsort((grams, both[1], both[0]))
+                both, grams = both[:, order], grams[order]
+                fresh = np.append(True, (both[:, 1:] != both[:, :-1]).any(axis=0) | (grams[1:] != grams[:-1])) if len(grams) else []
+                both, grams = both[:, fresh], grams[fresh]
+                start = both[1] * step
+                sums = np.append(np.uint64(0), np.cumsum(ids, dtype=np.uint64))
+                low = bounds[both[0]] + start
+                high = np.minimum(bounds[both[0] + 1], low + 2 * step)
+                out["doc_id"].append(ids_.take(pa.array(first + both[0])))
+                out["start"].append(start)
+                out["gram"].append(grams.astype(np.int64))
+                out["print"].append((sums[high] - sums[low]).astype(np.int64))
+            if out["start"]:
+                yield {"doc_id": pa.concat_arrays(out["doc_id"]), **{k: np.concatenate(out[k]) for k in ("start", "gram", "print")}}
+
+    # windows of rows that share an id are told apart by the sum of their words' ids
+    place = F.struct("doc_id", "start", "print")
+    met = map_batches(docs, hits, "doc_id long, start long, gram long, print long").join(seeds, "gram")
+    met = met.groupBy("piece", "doc_id", "start", "print").agg(F.sum("weight").alias("weight"), F.first("need").alias("need"))
+    asked = kept(met.where(F.col("weight") >= F.col("need")).select("piece", F.xxhash64(place).alias("place"), "print"), "asked")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits(asked.select(F.col("print").alias("gram")), WINDOW_BITS))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict = {"doc_id": [], "start": [], "words": [], "grams": []}
-            docs_ = values(batch, "doc_id")
+            names = values(batch, "doc_id")
             for first, ids, bounds in word_columns(batch.column(1), LETTER_WORDS):
-                every = runs(ids, GRAM)
-                hits = np.flatnonzero(_marked(every, bits.value))
-                doc = np.searchsorted(bounds, hits, "right") - 1
-                inside = hits + GRAM <= bounds[doc + 1]
-                hits, doc = hits[inside], doc[inside]
-                part = (hits - bounds[doc]) // REACH
-                edges = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))) if len(hits) else []
-                for low, high in zip(edges, [*edges[1:], len(hits)]):
-                    d, base = int(doc[low]), int(bounds[doc[low]])
-                    start = max(0, int(part[low]) * REACH - REACH)
-                    out["doc_id"].append(docs_[first + d])
-                    out["start"].append(start)
-                    out["words"].append(ids[base + start:min(int(bounds[d + 1]), base + (int(part[low]) + 2) * REACH)].astype(np.int64))
-                    out["grams"].append(np.unique(every[hits[low:high]]).astype(np.int64))
-            yield out
-
-    found = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), regions,
-                        "doc_id long, start int, words array<bigint>, grams array<bigint>")
-    found = found.withColumn("place", F.monotonically_increasing_id())
-    pairs = found.select("doc_id", "start", "place", F.col("words").alias("region"), F.explode("grams").alias("gram")).join(seeds, "gram")
-    pairs = pairs.groupBy("piece", "place").agg(*[F.first(c).alias(c) for c in ("doc_id", "start", "region")])
+                number = -(-np.diff(bounds) // step)
+                doc = np.repeat(np.arange(len(number)), number)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)) * step
+                sums = np.append(np.uint64(0), np.cumsum(ids, dtype=np.uint64))
+                low = bounds[doc] + start
+                high = np.minimum(bounds[doc + 1], low + 2 * step)
+                prints = sums[high] - sums[low]
+                at = np.flatnonzero(_marked(prints, wanted.value))
+                yield {"doc_id": [names[first + k] for k in doc[at].tolist()], "start": start[at], "print": prints[at].astype(np.int64),
+                       "region": [ids[i:j].astype(np.int64) for i, j in zip(low[at].tolist(), high[at].tolist())]}
+
+    cut = map_batches(docs, windows, "doc_id long, start long, print long, region array<bigint>")
+    pairs = cut.withColumn("place", F.xxhash64(place)).join(asked.select("piece", "place"), "place")
     pairs = pairs.join(pieces.select("piece", "item_id", "words"), "piece").select("doc_id", "item_id", "start", "region", "words")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
