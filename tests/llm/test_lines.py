@@ -69,3 +69,21 @@ def test_band(spark):
     for threshold in (1, 2, 3):
         for r in df.select("l", "r", lines.within_edits("l", "r", threshold).alias("near")).collect():
             assert r.near == (distance(r.l, r.r) <= threshold), (r, threshold)
+
+
+def test_every_place_has_its_class(spark):
+    common, near = "a line that many hold", "a line that many hold!"
+    rows = [(5, f"{common}\nonly here, in five"), (7, common), (9, f"\n{near}\n{common}"), (9, f"\n{near}\n{common}"), (None, "no id at all"), (8, None)]
+    got = sorted(tuple(-1 if x is None else x for x in r) for r in lines.line_places(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 0, 1, 0, -1, 0), (5, 0, 4, 1, 5, 0), (5, 1, 1, 0, 5, 1), (7, 0, 4, 1, 5, 0),
+                   (9, 1, 2, 1, 5, 0), (9, 1, 2, 1, 5, 0), (9, 2, 4, 1, 5, 0), (9, 2, 4, 1, 5, 0)]
+
+
+def test_query_has_a_row_for_every_line(spark, tmp_path):
+    from tidewatch.llm import queries
+
+    rows = [(k, "a line that many hold\nanother that many hold") for k in range(20)] + [(20, "one of its own")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_near_lines(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == {(k, n) for k in range(20) for n in (0, 1)} | {(20, 0)} and len(got) == 41
+    assert {(r.class_doc_id, r.class_line_no) for r in got if r.doc_id < 20} == {(0, 0), (0, 1)}

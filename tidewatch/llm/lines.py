@@ -121,14 +121,8 @@ def within_edits(left: str, right: str, threshold: int) -> Column:
     return F.coalesce(F.transform(split, last)[0].bitwiseAND(bit) != 0, F.lit(False))
 
 
-def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for every distinct line of `docs`: its first place, number of copies and links, and its class.
-
-    doc_id and line_no are its first place (smallest doc_id, then line; a null doc_id comes first). Lines link when both
-    have at least `min_chars` code points and lie within `threshold` edits. class_doc_id and class_line_no are the first
-    place of any line that links reach. A null, empty or blank-free text has no lines but its non-empty ones; repeated
-    rows are copies. Lines are told apart by a 64-bit hash. Other columns are ignored, an empty table gives an empty one.
-    """
+def _classes(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """id (hash), first (place), copies, links and head (the class's first place) of every distinct line."""
     found = all_lines(docs).groupBy("line").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     lines = kept(found.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("chars"), "copies", "first",
                               _letter_counts().alias("counts")), "lines")
@@ -147,7 +141,30 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
     classed = linked.join(heads, "root").join(number, "id").select("id", "head", "links")
     out = lines.select("id", "first", "copies").join(classed, "id", "left")
-    head = F.coalesce("head", "first")
-    return out.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").cast("long").alias("line_no"),
-                      F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-                      head["doc_id"].alias("class_doc_id"), head["line_no"].cast("long").alias("class_line_no"))
+    return out.select("id", "first", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("head", "first").alias("head"))
+
+
+def _row(doc_id: Column, line_no: Column) -> list[Column]:
+    return [doc_id.alias("doc_id"), line_no.cast("long").alias("line_no"), F.col("copies").alias("n_copies"), F.col("links").alias("n_links"),
+            F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").cast("long").alias("class_line_no")]
+
+
+def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row for every distinct line of `docs`: its first place, number of copies and links, and its class.
+
+    doc_id and line_no are its first place (smallest doc_id, then line; a null doc_id comes first). Lines link when both
+    have at least `min_chars` code points and lie within `threshold` edits. class_doc_id and class_line_no are the first
+    place of any line that links reach. A null, empty or blank-free text has no lines but its non-empty ones; repeated
+    rows are copies. Lines are told apart by a 64-bit hash. Other columns are ignored, an empty table gives an empty one.
+    """
+    return _classes(docs, threshold, min_chars).select(*_row(F.col("first.doc_id"), F.col("first.line_no")))
+
+
+def line_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """near_lines() with one row for every place of a line, each with its own doc_id and line_no.
+
+    n_copies and n_links are the line's, so the places of a copied line agree in them and in their class.
+    """
+    places = all_lines(docs).select(F.xxhash64("line").alias("id"), "doc_id", "line_no")
+    classes = _classes(docs, threshold, min_chars).select("id", "copies", "links", "head")
+    return places.join(classes, "id").select(*_row(F.col("doc_id"), F.col("line_no")))

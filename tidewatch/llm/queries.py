@@ -35,7 +35,7 @@ def op4_chat_prefixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_near_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.near_lines(table(spark, folder, "documents"))
+    return lines.line_places(table(spark, folder, "documents"))
 
 
 def op6_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
