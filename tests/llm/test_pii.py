@@ -54,3 +54,14 @@ def test_rows(spark):
     assert len(got) == 5 and [r[1:5] for r in got].count((1, 1, 1, 1)) == 3
     assert {r[6] for r in got} == {"", "email:3:8,ip:28:35,card:9:25,phone:36:53"}
     assert pii.digest(pii.find_personal_data(df.limit(0))).collect() == []
+
+
+def test_iban_beside_other_capitals():
+    def found(text):
+        return [text[s[1]:s[2]] for s in pii.personal_spans(text) if s[0] == "iban"]
+
+    es, de, no = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    assert found(f"IBAN {es} BIC CAIXESBB") == [es]
+    assert found(f"{es} 12, {es} EUR 1500 and {es} PAID BY BANK") == [es] * 3
+    assert found(f"AB12 {de} BIC; {no} KONTO {es.replace(' ', '')} OK") == [de, no, es.replace(" ", "")]
+    assert found(f"x{es} BIC, {es}9, {es}b") == []
