@@ -59,3 +59,17 @@ def test_empty_table(spark):
 def test_whole_text_mode():
     whole = tokens.Encoder.of(PATH, False)
     assert np.frombuffer(whole.ids("Some té xt".encode()), whole.kind).tolist() == plain("Some té xt")
+
+
+def test_strings_of_added_tokens():
+    """The ids of a tokenizer as its file makes it, also where a text spells one of its added tokens."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    names = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert names
+    texts = ["end <|endoftext|> start", *[f(n) for n in names for f in (str, str.upper, lambda n: f"End,{n}. É {n}{n} x", lambda n: f"a{n.title()}b {n}", lambda n: n[:-1])]]
+    for by_blank in (True, False):
+        for text in texts:
+            got = np.frombuffer(tokens.Encoder.of(PATH, by_blank).ids(text.encode()), "<u2").tolist()
+            assert got == fresh.encode(text, add_special_tokens=False).ids, text

@@ -45,7 +45,8 @@ class Encoder:
     """Ids of whole texts, word by word where that gives the same ids.
 
     `by_blank` states that the tokenizer drops white space and never joins over it, as word-end vocabularies do: then
-    the ids of a text are those of its blank-separated words, and repeated words are encoded once.
+    the ids of a text are those of its blank-separated words, and repeated words are encoded once. A text that holds the
+    string of an added token, in any case, is encoded whole.
     """
 
     made: dict[tuple, "Encoder"] = {}
@@ -55,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True       # their strings in a text are ordinary text
+        self.added = [t.content.encode().lower() for t in self.tool.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4"
         self.by_blank = by_blank
         self.known: dict[bytes, bytes] = {}
@@ -72,10 +73,11 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: bytes) -> bytes:
-        if not self.by_blank:
+        low = text.lower()                          # of bytes, so ASCII letters only
+        if not self.by_blank or any(t in low for t in self.added):
             return self.packed([text.decode()])[0]
         # ASCII letters are lowered here, where that is sure to be what the tokenizer does; fewer words are new then
-        words = WORD_END.sub(rb" \1", text.lower() if text.isascii() else text).split()
+        words = WORD_END.sub(rb" \1", low if text.isascii() else text).split()
         if not text.isascii():
             words = [w.lower() if w.isascii() else w for w in words]
         if len(self.known) > CACHE_WORDS:
