@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, jaccard, language, licenses, lines, mixing, pii, tokens, topk
+from tidewatch.llm import chat, decontaminate, jaccard, language, licenses, lines, mixing, negatives, pii, tokens, topk, whitening
 from tidewatch.llm.store import kept
 
 
@@ -62,6 +62,16 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = negatives.labelled_vectors(table(spark, folder, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0).drop("positive_rank")
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline          # the pipeline's own module, at the repository top
 
@@ -70,7 +80,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_token_shards, op2_license_scan, op3_pfair_mix, op4_chat_prefixes, op5_near_lines, op6_language_mixture,
-    op7_exact_top_k, op8_jaccard_join, op9_personal_data, op10_benchmark_leaks, pipeline)}
+    op7_exact_top_k, op8_jaccard_join, op9_personal_data, op10_benchmark_leaks,
+    op11_hard_negatives, op12_whitening, pipeline)}
 
 ORACLE = {
     "op4_chat_prefixes": r"""
@@ -108,4 +119,19 @@ ORACLE = {
         least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
         FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON a = d.doc_id""",
+    "op11_hard_negatives": """
+        WITH good AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                          CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                   FROM good a JOIN good c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+        near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+                 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        hard AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+                 FROM near JOIN scored USING (anchor_id)
+                 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 10""",
 }
