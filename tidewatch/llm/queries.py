@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, jaccard, language, licenses, lines, mixing, negatives, pii, tokens, topk, whitening
+from tidewatch.llm import chat, decontaminate, jaccard, language, licenses, lines, mixing, negatives, pii, quality, tokens, topk, whitening
 from tidewatch.llm.store import kept
 
 
@@ -72,6 +72,12 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = quality.score(docs, quality.train(docs, labels.where(~quality.held_out())))
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline          # the pipeline's own module, at the repository top
 
@@ -81,7 +87,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (
     op1_token_shards, op2_license_scan, op3_pfair_mix, op4_chat_prefixes, op5_near_lines, op6_language_mixture,
     op7_exact_top_k, op8_jaccard_join, op9_personal_data, op10_benchmark_leaks,
-    op11_hard_negatives, op12_whitening, pipeline)}
+    op11_hard_negatives, op12_whitening, op13_quality_classifier, pipeline)}
 
 ORACLE = {
     "op4_chat_prefixes": r"""
