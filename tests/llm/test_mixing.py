@@ -1,30 +1,73 @@
+import math
 import random
+from fractions import Fraction
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewatch.llm import mixing
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 40), min_size=1))
-def test_period_is_pfair(parts):
-    slots, length = mixing.period_of(parts), sum(parts.values())
-    assert sorted(x for s in slots.values() for x in s) == list(range(length))
-    for s, own in slots.items():
-        assert len(own) == parts[s]
-        for t in range(length + 1):
-            assert abs(sum(x < t for x in own) - t * parts[s] / length) < 1
-        for k, x in enumerate(own):
-            assert k * length // parts[s] <= x < -(-(k + 1) * length // parts[s])
+def replay(blocks, weights):
+    """Earliest deadline first, looked up slot by slot over all sources, with exact fractions; a new phase when a source ends."""
+    left, had, out, base = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), [], 0
+    while left:
+        total = sum(Fraction(weights[s]) for s in left)
+        share = {s: Fraction(weights[s]) / total for s in left}
+        done, slot = dict.fromkeys(left, 0), 0
+        while all(done[s] < left[s] for s in left):
+            free = [s for s in left if math.floor(done[s] / share[s]) <= slot]
+            s = min(free, key=lambda s: (math.ceil((done[s] + 1) / share[s]), s))
+            out.append((s, had[s] + done[s], base + slot, base + math.floor(done[s] / share[s]), base + math.ceil((done[s] + 1) / share[s])))
+            done[s] += 1
+            slot += 1
+        base += slot
+        for s in list(left):
+            had[s] += done[s]
+            left[s] -= done[s]
+            if not left[s]:
+                del left[s]
+    return out
+
+
+def order_of(plan):
+    out = []
+    for phase in plan:
+        total = sum(phase["parts"])
+        for at, state in enumerate(phase["states"]):
+            begun, first = list(state), at * phase["often"]
+            for slot, i in zip(range(first, min(phase["length"], first + phase["often"])), mixing.slots(phase["parts"], begun, first)):
+                k, p = begun[i] - 1, phase["parts"][i]
+                out.append((phase["sources"][i], phase["had"][i] + k, phase["base"] + slot, phase["base"] + mixing.release(k, p, total),
+                            phase["base"] + mixing.deadline(k, p, total)))
+    return out
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcde"), st.tuples(st.integers(0, 60), st.floats(0.01, 9)), min_size=1))
-def test_phases_use_every_slot_once(sources):
-    plan = mixing.phases({s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}, 30)
-    slots = [p["base"] + k // p["parts"] * p["length"] + p["slots"][k % p["parts"]] for p in plan for k in range(p["last"] - p["first"] + 1)]
-    assert sorted(slots) == list(range(sum(n for n, _ in sources.values())))
+@given(st.dictionaries(st.sampled_from("abcde"), st.tuples(st.integers(0, 60), st.one_of(st.integers(1, 9), st.floats(0.01, 9))), min_size=1),
+       st.sampled_from([7, 100]))
+def test_whole_order_against_a_plain_replay(sources, often):
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    before, mixing.SEGMENT = mixing.SEGMENT, often
+    try:
+        plan = mixing.phases(blocks, mixing.whole_parts(weights))
+    finally:
+        mixing.SEGMENT = before
+    got = order_of(plan)
+    assert got == replay(blocks, weights)
+    assert all(r <= slot < d for _, _, slot, r, d in got)
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": Fraction(1, 7), "b": Fraction(6, 7)}, {"a": math.sqrt(2), "b": math.pi, "c": 1e-3}])
+def test_never_a_block_from_the_exact_weight(weights):
+    parts = list(mixing.whole_parts(weights).values())
+    count, total = 300_000, sum(parts)
+    who = np.fromiter((i for _, i in zip(range(count), mixing.slots(parts, [0] * len(parts), 0))), int, count)
+    for i, part in enumerate(parts):
+        have = np.cumsum(who == i)
+        assert all(abs(int(h) * total - (t + 1) * part) < total for t, h in enumerate(have.tolist()))
 
 
 def table(spark):
@@ -36,21 +79,22 @@ def table(spark):
 
 def test_rows_and_weights(spark, monkeypatch):
     monkeypatch.setattr(mixing, "STEP", 300)
+    monkeypatch.setattr(mixing, "SEGMENT", 50)
     rows, df = table(spark)
     weights = {"hot": 0.5, "b": 0.25, "c": 0.2, "": 0.05}
-    got = mixing.mixed(df, weights, block=400, period=20).collect()
+    got = mixing.mixed(df, weights, block=400).collect()
     assert sorted((str(r.row.doc_id), str(r.row.text), r.source) for r in got) == sorted((str(a), str(b), c or "") for a, b, c in rows)
-    assert all(r.release <= r.slot < r.deadline for r in got)
-    by_slot = {}
-    for r in got:
-        assert by_slot.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
     size = {s: sum(max(1, len(t or "")) for _, t, x in rows if (x or "") == s) for s in weights}
+    plan = {(s, k): rest for s, k, *rest in replay({s: -(-n // 400) for s, n in size.items()}, weights)}
+    assert all([r.slot, r.release, r.deadline] == plan[r.source, r.block] for r in got)
     whole = min(-(-size[s] // 400) / w for s, w in weights.items())         # slots until the first source runs out
     for t in range(1, int(whole)):
         for s, w in weights.items():
             blocks = len({r.block for r in got if r.source == s and r.slot < t})
             assert abs(blocks - t * w) < 1 + (13 if s == "c" else 0)         # the long document of c leaves slots empty
     assert mixing.mixed(df.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        mixing.mixed(df, {"hot": 0.0})
 
 
 def test_written_order(spark, tmp_path):

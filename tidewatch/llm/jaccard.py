@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.graph import components
 from tidewatch.llm.store import kept
-from tidewatch.llm.text import map_batches, shingle_sets, values
+from tidewatch.llm.text import map_batches, shingle_sets, slices, values
 
 #: Counters of the frequency table: 4 MB whatever the corpus size. Their chunks are summed by Spark.
 SLOTS, CHUNK = 1 << 20, 1 << 14
@@ -111,7 +111,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     classes = spark.sparkContext.broadcast(_classes(_counters(docs, width)))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: dict = {k: [] for k in ("doc_id", "n", "node", "grp", "prefix")}
             for doc, found in zip(values(batch, "doc_id"), shingle_sets(batch.column(1), width)):
                 tokens = ordered(found, classes.value)
@@ -178,14 +178,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: dict = {"node": [], "tokens": []}
             for found in shingle_sets(batch.column(0), width):
                 tokens = ordered(found, classes.value)
                 node = xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
                 bit = node % NEEDED_BITS
                 if len(tokens) and wanted.value[bit >> 3] >> (bit & 7) & 1 and node not in seen:
-                    if len(seen) < 1_000_000:       # leaves out copies of one partition; a full set only costs rows
+                    if len(seen) < 200_000:       # leaves out copies of one partition; a full set only costs rows
                         seen.add(node)
                     out["node"].append(node)
                     out["tokens"].append(tokens)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import map_batches, mixed, values
+from tidewatch.llm.text import map_batches, mixed, release, slices, values
 
 #: Hashed letter trigrams of the model, trigrams of one window, and code points handled at a time.
 SLOTS, WINDOW, PIECE = 1 << 15, 32, 1 << 20
@@ -63,7 +63,7 @@ def train(docs: DataFrame) -> LanguageModel:
     """Trigram counts of all texts of `docs` (text, lang) that have both, added up by Spark. Rows are not sampled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for text, lang in zip(values(batch, "text"), values(batch, "lang")):
                 total = totals.setdefault(lang, np.zeros(SLOTS, np.int64))
                 for slots in trigrams(text):
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)      # 128 KB for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [judge(t, shared.value) for t in values(batch, "text")]
             columns = list(zip(*found)) or [[], [], [], []]
             yield {"doc_id": values(batch, "doc_id"), **dict(zip(("lang_pred", "score", "languages", "gain"), columns))}
@@ -178,8 +178,11 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [judge(t, shared.value) for t in values(batch, "text")]
-            yield batch.filter(pa.array([lang != UNKNOWN and gain > 0 for lang, _, _, gain in found], pa.bool_()))
+        try:
+            for batch in (part for whole in batches for part in slices(whole)):
+                found = [judge(t, shared.value) for t in values(batch, "text")]
+                yield batch.filter(pa.array([lang != UNKNOWN and gain > 0 for lang, _, _, gain in found], pa.bool_()))
+        finally:
+            release()
 
     return docs.mapInArrow(run, docs.schema)

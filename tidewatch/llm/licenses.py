@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm.store import literal_table
 from tidewatch.llm.text import LETTER_WORDS, map_batches, values, word_columns, words_of
 
 #: The phrases whose consecutive places are counted, with their labels.
@@ -101,8 +102,9 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
         tokens = sorted({ranks[w] for w in t["words"]})
         for place, token in enumerate(tokens[:t["size"] - t["need"] + 1]):
             rare[t["width"]][token] = True
-            rows.append((t["template"], t["label"], t["base"], t["width"], t["size"], t["need"], token, place, tokens,
-                         [ranks[w] for w in t["words"]] if t["base"] else None))
+            rows.append({"template": t["template"], "label": t["label"], "base": t["base"], "t_width": t["width"], "t_size": t["size"],
+                         "need": t["need"], "t_token": token, "t_place": place, "t_tokens": tokens,
+                         "phrase": [ranks[w] for w in t["words"]] if t["base"] else None})
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -124,8 +126,8 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
 
     scanned = map_batches(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text"), blocks,
                           "row long, doc_id long, n_words long, blocks array<struct<width:int,start:int,ranks:array<int>>>")
-    wanted = spark.createDataFrame(rows, "template int, label string, base boolean, t_width int, t_size int, need int, "
-                                         "t_token int, t_place int, t_tokens array<int>, phrase array<int>")
+    wanted = literal_table(spark, rows, "template int; label string; base boolean; t_width int; t_size int; need int; "
+                                        "t_token int; t_place int; t_tokens array<int>; phrase array<int>")
     block = scanned.select("row", "doc_id", "n_words", F.explode_outer("blocks").alias("b")).select(
         "row", "doc_id", "n_words", "b.*", F.array_sort(F.array_distinct(F.filter("b.ranks", lambda r: r >= 0))).alias("tokens"))
     token = block.select("*", F.posexplode_outer("tokens").alias("place", "token"))

@@ -1,83 +1,133 @@
 """Mixing sources to target weights by Pfair scheduling (Baruah et al., 1996).
 
-A source's documents, in a fixed random order, are cut into blocks of equal size. With weight w, its k-th block is
-released at floor((k - 1) / w) and due at ceil(k / w); in every slot the released block with the earliest deadline goes
-next. No source is then ever a whole block ahead of or behind its weight. Weights are fractions of one period, so the
-order of one period repeats: it is worked out once, from the weights alone, and blocks find their slots by arithmetic.
+A source's documents, in a fixed random order, are cut into blocks of equal size. With weight w, its k-th block (from 0)
+is released at floor(k / w) and due at ceil((k + 1) / w); in every slot the released block with the earliest deadline goes
+next. No source is then ever a whole block ahead of or behind its weight. Weights are exact fractions, so this holds after
+any number of slots. The driver runs through the slots once, with one number for each source, and notes the state every
+SEGMENT slots; tasks work out the segments from there, and blocks find their slots by a join.
 When a source runs out, the others go on with the same weights relative to each other, as a new phase; no row is dropped.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text of a block, documents summed as one step, slots of a period (more with many sources).
-BLOCK, STEP, PERIOD = 1 << 20, 4000, 1000
-#: Sources whose totals the driver plans with; beyond that, an error asks for coarser ones.
-MOST_SOURCES = 10_000
+from tidewatch.llm.store import kept
+from tidewatch.llm.text import map_batches, values
 
+#: Bytes of text of a block, documents summed as one step, slots that one task works out (more with many sources).
+BLOCK, STEP, SEGMENT = 1 << 20, 4000, 1 << 16
 
-def parts_of(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for every weight, at least one each, by largest remainders; ties by name."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (parts[s] - exact[s], s))[:max(0, period - sum(parts.values()))]:
-        parts[s] += 1
-    return parts
 
+def whole_parts(weights: dict) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights (int, float or Fraction, all above 0)."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be above 0")
+    scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    least = math.gcd(*whole.values()) if whole else 1
+    return {s: w // least for s, w in whole.items()}
 
-def period_of(parts: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period: earliest deadline first among released blocks, ties by name."""
-    length = sum(parts.values())
-    waiting = [(0, s, 1) for s in parts]                    # release, source, block
-    ready: list[tuple[int, str, int]] = []                  # deadline, source, block
+
+def release(k: int, part: int, total: int) -> int:
+    return k * total // part
+
+
+def deadline(k: int, part: int, total: int) -> int:
+    return -(-(k + 1) * total // part)
+
+
+def slots(parts: list[int], begun: list[int], slot: int) -> Iterator[int]:
+    """Whose block every slot from `slot` on takes: earliest deadline first among released blocks, ties to the first source.
+
+    `begun` has every source's number of blocks so far and is kept up to date.
+    """
+    total = sum(parts)
+    waiting = [(release(k, p, total), i) for i, (k, p) in enumerate(zip(begun, parts))]
+    ready: list[tuple[int, int]] = []
     heapq.heapify(waiting)
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(length):
+    while True:
         while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * length // parts[s]), s, k))
-        _, s, k = heapq.heappop(ready)
-        slots[s].append(slot)
-        if k < parts[s]:
-            heapq.heappush(waiting, (k * length // parts[s], s, k + 1))
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """For every phase and source: its first and last block, the phase's first slot, and its slots in a period."""
-    left, begun, base, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline(begun[i], parts[i], total), i))
+        _, i = heapq.heappop(ready)
+        begun[i] += 1
+        heapq.heappush(waiting, (release(begun[i], parts[i], total), i))
+        yield i
+        slot += 1
+
+
+def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[dict]:
+    """For every phase its sources and their parts, the blocks they had before, its first slot, its length, and the number
+    of blocks of every source at the start of each segment."""
+    left, had, base, out = {s: n for s, n in sorted(blocks.items()) if n > 0}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        parts = parts_of({s: weights[s] for s in left}, period)
-        slots, length = period_of(parts), sum(parts.values())
-        last = min((n - 1) // parts[s] * length + slots[s][(n - 1) % parts[s]] for s, n in left.items())
-        for s in list(left):
-            done = (last + 1) // length * parts[s] + sum(x < (last + 1) % length for x in slots[s])
-            if done:
-                out.append({"source": s, "first": begun[s], "last": begun[s] + done - 1, "base": base, "length": length,
-                            "parts": parts[s], "slots": slots[s]})
-            begun[s] += done
-            left[s] -= done
+        names = list(left)
+        own, begun, states, length = [parts[s] for s in names], [0] * len(names), [], 0
+        often = max(SEGMENT, 16 * len(names))
+        goal = [left[s] for s in names]
+        for i in slots(own, begun, 0):
+            if length % often == 0:
+                states.append([b - (j == i) for j, b in enumerate(begun)])
+            length += 1
+            if begun[i] == goal[i]:
+                break
+        out.append({"sources": names, "parts": own, "had": [had[s] for s in names], "base": base, "length": length,
+                    "often": often, "states": states})
+        for s, b in zip(names, begun):
+            had[s] += b
+            left[s] -= b
             if not left[s]:
                 del left[s]
-        base += last + 1
+        base += length
     return out
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: float = 0.5, block: int = BLOCK,
-          period: int = PERIOD, seed: int = 11) -> DataFrame:
+def planned(spark, plan: list[dict]) -> DataFrame:
+    """source, block, slot, release, deadline of every block, worked out segment by segment."""
+    segments = [(p, at) for p, phase in enumerate(plan) for at in range(len(phase["states"]))]
+    schema = "p_source string, p_block long, slot long, release long, deadline long"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for number in values(batch, "id"):
+                p, at = segments[number]
+                phase = plan[p]
+                parts, begun, first = phase["parts"], list(phase["states"][at]), at * phase["often"]
+                total, base = sum(parts), phase["base"]
+                rows: list[tuple] = []
+                for slot, i in enumerate(slots(parts, begun, first), first):
+                    k = begun[i] - 1
+                    rows.append((phase["sources"][i], phase["had"][i] + k, base + slot, base + release(k, parts[i], total),
+                                 base + deadline(k, parts[i], total)))
+                    last = slot + 1 >= min(phase["length"], first + phase["often"])
+                    if last or len(rows) == 1 << 14:
+                        yield dict(zip(("p_source", "p_block", "slot", "release", "deadline"), zip(*rows)))
+                        rows = []
+                    if last:
+                        break
+
+    return map_batches(spark.range(0, len(segments), 1, max(1, len(segments))), work, schema)
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, smoothing: float = 0.5, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """row (all columns of `docs` as a struct), source, block, place, slot, release, deadline for every row of `docs`.
 
     Needs doc_id, text and source. Sorted by (slot, place) the rows are in mixed order. A block holds the rows that begin
     within `block` bytes of its source; a longer document fills the blocks after it, whose slots then are empty. Without
-    `weights`, a source weighs its share of all bytes to the power of `smoothing`; a source missing in `weights` weighs as
-    little as the least of them. A null source is the empty one. A null or empty text counts as one byte. The order in a
-    source is by a hash of doc_id and text; equal rows are copies and keep their own places. An empty table gives an empty
-    one. Hot sources are summed in steps, so none is one task.
+    `weights` (numbers above 0, taken exactly), a source weighs its bytes to the power of `smoothing`; a source missing in
+    `weights` weighs as little as the least of them. A null source is the empty one. A null or empty text counts as one
+    byte. The order in a source is by a hash of doc_id and text; equal rows are copies and keep their own places. An empty
+    table gives an empty one. Hot sources are summed in steps, so none is one task. The driver holds a few numbers for
+    each source and does one step for each block.
     """
     spark = docs.sparkSession
     size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(1)), F.lit(1)).cast("long")
@@ -86,15 +136,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: f
                        F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     rows = rows.withColumn("step", F.pmod("h", F.lit(steps)))
     sums = rows.groupBy("source", "step").agg(F.sum("size").alias("bytes"))
-    totals = {r.source: r.bytes for r in sums.groupBy("source").agg(F.sum("bytes").alias("bytes")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-    every = sum(totals.values())
-    known = {s: (b / every) ** smoothing for s, b in totals.items()} if weights is None else \
+    totals = {r.source: r.bytes for r in sums.groupBy("source").agg(F.sum("bytes").alias("bytes")).collect()}    # a row for each source
+    known = {s: float(b) ** smoothing for s, b in totals.items()} if weights is None else \
         {s: weights.get(s, min(weights.values())) for s in totals}
-    plan = phases({s: -(-b // block) for s, b in totals.items()}, known, max(period, 10 * len(totals)))
-    table = spark.createDataFrame([(p["source"], p["first"], p["last"], p["base"], p["length"], p["parts"], p["slots"]) for p in plan],
-                                  "p_source string, first long, last long, base long, length long, parts long, slots array<bigint>")
+    table = kept(planned(spark, phases({s: -(-b // block) for s, b in totals.items()}, whole_parts(known))), "slots")
     before = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     begun = sums.select(F.col("source").alias("b_source"), F.col("step").alias("b_step"),
                         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("begun"))
@@ -102,12 +147,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: f
     own = Window.partitionBy("source", "step").orderBy("h", "size")
     at = F.col("begun") + F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     rows = rows.withColumn("place", at).withColumn("block", F.floor(F.col("place") / block))
-    rows = rows.join(table, (F.col("source") == F.col("p_source")) & F.col("block").between(F.col("first"), F.col("last")))
-    k: Column = F.col("block") - F.col("first")
-    slot = F.col("base") + F.floor(k / F.col("parts")) * F.col("length") + F.col("slots")[(k % F.col("parts")).cast("int")]
-    return rows.select("row", "source", "block", "place", slot.alias("slot"),
-                       (F.col("base") + F.floor(k * F.col("length") / F.col("parts"))).alias("release"),
-                       (F.col("base") + F.ceil((k + 1) * F.col("length") / F.col("parts"))).alias("deadline"))
+    rows = rows.join(table, (F.col("source") == F.col("p_source")) & (F.col("block") == F.col("p_block")))
+    return rows.select("row", "source", "block", "place", "slot", "release", "deadline")
 
 
 def in_order(mixed_rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import chat, decontaminate, jaccard, language, licenses, lines, mixing, negatives, pii, quality, tokens, topk, whitening
-from tidewatch.llm.store import kept
+from tidewatch.llm.store import kept, literal_table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +28,8 @@ def op3_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_chat_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = literal_table(spark, [{"conv_id": -7, "turn": turn, "role": role, "text": hard} for turn, role in enumerate(("user", "assistant"))],
+                         "conv_id long; turn long; role string; text string")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     written = kept(chat.formatted_turns(turns), "turns")
     return chat.digest(written, kept(chat.examples(written), "examples"))

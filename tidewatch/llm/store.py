@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.session import scratch
 
@@ -20,3 +23,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from a literal in the plan; unlike createDataFrame it needs no Python worker."""
+    kind = "array<struct<" + ",".join(part.strip().replace(" ", ":", 1) for part in schema.split(";")) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), F.lit(kind))))

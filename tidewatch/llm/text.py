@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -152,7 +153,24 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in run(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kind], schema=kind)
+        try:
+            for columns in run(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kind], schema=kind)
+        finally:
+            release()
 
     return df.mapInArrow(call, schema)
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system; its worker process lives on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that what is made of it at once stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

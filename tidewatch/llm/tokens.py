@@ -26,8 +26,8 @@ from tidewatch.session import scratch
 MAGIC = 0x54574944
 #: Bytes of text for one shard, on average.
 SHARD_BYTES = 48 << 20
-#: Encoded words that a worker keeps, twice; longer words are never kept. Both bound memory and change speed only.
-CACHE_WORDS, CACHE_BYTES = 500_000, 48
+#: Encoded words that a task keeps, twice, some 25 MB each time; longer words are never kept. Both change speed only.
+CACHE_WORDS, CACHE_BYTES = 150_000, 48
 #: A full stop or comma that ends an ASCII word; a blank before it changes no id, since signs never join letters.
 WORD_END = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
 #: Bytes read at a time when a shard is read back.
@@ -69,6 +69,10 @@ class Encoder:
             cls.made[key] = cls(path, by_blank)
         return cls.made[key]
 
+    def forget(self) -> None:
+        """Drop the kept words; the tokenizer itself stays with the worker."""
+        self.known, self.older = {}, {}
+
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -191,7 +195,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, by
                     docs_.append(doc)
                     lengths.append(len(ids) // width + 1)
 
-        _put(folder, f"shard-{shard:06d}.ids", payload)
+        try:
+            _put(folder, f"shard-{shard:06d}.ids", payload)
+        finally:
+            encoder.forget()
         if not docs_:
             return
         named = np.array([d is not None for d in docs_], "u1")
