@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -186,10 +186,3 @@ def read_config(spark: SparkSession, windows: str | None = None, metrics: str |
                 Bands.review if found[0].review is None else found[0].review,
                 Bands.decline if found[0].decline is None else found[0].decline)
     return Config(**made)
-
-
-def rates_from(spark: SparkSession, path: str, base: str = "GBP") -> dict[str, float]:
-    """Exchange rates `currency, base, to_base` for one base currency."""
-    rows = (spark.read.schema("currency string, base string, to_base double").json(path)
-            .filter(F.upper("base") == base.upper()).collect())
-    return {r.currency: r.to_base for r in rows}

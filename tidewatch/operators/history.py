@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -18,6 +19,7 @@ from tidewatch.functions import times
 from tidewatch.operators.skew import HeavyKeys, into_lanes, running
 
 TICK = "_tick"
+COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 UNITS = ("hour", "day", "week", "month")
 ARRIVAL = ("ms", "transaction_id")
 
@@ -56,6 +58,19 @@ class Distinct:
     previous_ms: str   # column with the time of the last earlier row of (entity, member)
 
 
+class Stored(Protocol):
+    """What is kept of the rows before a batch, for the entities that the batch touches."""
+
+    def buckets(self, keys: Sequence[str]) -> DataFrame:
+        """Keys, _tick, and the measures and membership changes of each five-minute bucket."""
+
+    def pairs(self, keys: Sequence[str]) -> DataFrame:
+        """Keys, n, amount_sum, first_ms, last_ms."""
+
+    def arrivals(self) -> DataFrame:
+        """customer_id, ms, transaction_id of every customer's last payments."""
+
+
 def now(measure: str) -> Column:
     return F.col(f"_p_{measure}")
 
@@ -95,21 +110,31 @@ def bucket_sum(keys: Sequence[str], measure: str, unit: str, low: int, high: int
 
 # --- the table ---------------------------------------------------------------------------------
 
-def membership_changes(source: DataFrame, entity: Sequence[str], specs: Sequence[Distinct]) -> DataFrame:
+def membership_changes(source: DataFrame, entity: Sequence[str], specs: Sequence[Distinct],
+                       stored: "Stored | None" = None) -> DataFrame:
     """When members enter (`_a_`) and leave (`_z_`) each distinct window, per (entity, five minutes).
 
     A member covers its entity from a sighting until `lookback` units after that sighting's unit.
     Overlapping covers are merged by pairing every sighting with the one before it, so the number of
     members at any time is entries so far minus exits so far and no member set is ever collected.
+    Stored sightings are taken as made before: they give no steps again, and older ones of `source` give none.
     """
     member = specs[0].member
     finest = "hour" if any(s.unit == "hour" for s in specs) else "day"
     seen = (source.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*entity, member)]))
             .withColumn("_unit", times.index(F.col("ms"), finest))
             .groupBy(*entity, member, "_unit").agg(F.min("ms").alias("_first")))
+    if stored is not None:
+        old = stored.pairs((*entity, member)).select(
+            *entity, member, times.index(F.col("last_ms"), finest).alias("_unit"), F.lit(None).cast("long").alias("_first"))
+        seen = seen.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)))
     order = Window.partitionBy(*entity, member).orderBy("_unit")
-    seen = (seen.withColumn("_prev", F.lag("_unit").over(order))
-            .withColumn(TICK, times.index(F.col("_first"), "tick")))
+    seen = seen.withColumn("_prev", F.lag("_unit").over(order if stored is None else Window.partitionBy(
+        *entity, member).orderBy("_unit", F.desc("_old"))))
+    if stored is not None:
+        known = F.max(F.when(F.col("_old"), F.col("_unit"))).over(Window.partitionBy(*entity, member))
+        seen = seen.withColumn("_known", known).filter(~F.col("_old") & (F.col("_known").isNull() | (F.col("_unit") > F.col("_known"))))
+    seen = seen.withColumn(TICK, times.index(F.col("_first"), "tick"))
     width = times.TICKS[finest]
     steps = []
     for s in specs:
@@ -133,24 +158,40 @@ def membership_changes(source: DataFrame, entity: Sequence[str], specs: Sequence
 
 
 def bucket_table(source: DataFrame, keys: Sequence[str], measures: Sequence[Measure],
-                 distincts: Sequence[Distinct] = ()) -> DataFrame:
+                 distincts: Sequence[Distinct] = (), stored: "Stored | None" = None) -> DataFrame:
     """One row per (entity, five-minute bucket) with its measures and membership changes."""
-    combine = {"sum": F.sum, "min": F.min, "max": F.max}
     # Values are projected first: partial aggregation then reads plain columns.
     table = (source.withColumn(TICK, times.index(F.col("ms"), "tick"))
              .select(*keys, TICK, *[m.value.alias(m.name) for m in measures])
-             .groupBy(*keys, TICK).agg(*[combine[m.fn](m.name).alias(m.name) for m in measures]))
+             .groupBy(*keys, TICK).agg(*[COMBINE[m.fn](m.name).alias(m.name) for m in measures]))
     members = sorted({d.member for d in distincts})
     for member in members:
-        changes = membership_changes(source, keys, [d for d in distincts if d.member == member])
+        changes = membership_changes(source, keys, [d for d in distincts if d.member == member], stored)
         table = table.unionByName(changes, allowMissingColumns=True)
     if members:
         steps = [c for d in distincts for c in (f"_a_{d.name}", f"_z_{d.name}")]
         table = table.groupBy(*keys, TICK).agg(
-            *[combine[m.fn](m.name).alias(m.name) for m in measures],
+            *[COMBINE[m.fn](m.name).alias(m.name) for m in measures],
             *[F.sum(c).alias(c) for c in steps])
-    # Placed once by entity: every frame below then works on local data.
-    return table.withColumns({f"_{u}": times.index_of_tick(F.col(TICK), u) for u in UNITS}).repartition(*keys)
+    return table
+
+
+def with_stored(table: DataFrame, keys: Sequence[str], measures: Sequence[Measure], distincts: Sequence[Distinct],
+                stored: "Stored") -> DataFrame:
+    """Batch buckets and stored buckets as one table; what was stored of a bucket is also in `_k_` columns."""
+    steps = [c for d in distincts for c in (f"_a_{d.name}", f"_z_{d.name}")]
+    every = {**{m.name: m.fn for m in measures}, **{c: "sum" for c in steps}}
+    before = {f"_k_{m.name}": (m.name, m.fn) for m in measures} | {f"_k_in_{d.name}": (f"_a_{d.name}", "sum") for d in distincts}
+    old = stored.buckets(keys).select(*keys, TICK, *every, *[F.col(c).alias(name) for name, (c, _) in before.items()])
+    return table.unionByName(old, allowMissingColumns=True).groupBy(*keys, TICK).agg(
+        *[COMBINE[fn](c).alias(c) for c, fn in every.items()], *[COMBINE[fn](name).alias(name) for name, (_, fn) in before.items()])
+
+
+def merged(fn: str, a: Column, b: Column) -> Column:
+    """Two partial results as one; either may be null."""
+    if fn == "sum":
+        return F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0)))
+    return (F.least if fn == "min" else F.greatest)(a, b)
 
 
 def enters_now(d: Distinct, keys: Sequence[str]) -> Column:
@@ -170,9 +211,14 @@ def distinct_feature(d: Distinct, keys: Sequence[str]) -> Feature:
 
 def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Sequence[Measure],
            features: Sequence[Feature], distincts: Sequence[Distinct] = (),
-           heavy: HeavyKeys = HeavyKeys()) -> DataFrame:
-    """Adds `features` of the entity `keys` to `rows`. `source` is the full history the rows are part of."""
-    table = bucket_table(source, keys, measures, distincts)
+           heavy: HeavyKeys = HeavyKeys(), stored: "Stored | None" = None) -> DataFrame:
+    """Adds `features` of the entity `keys` to `rows`. `source` is the full history the rows are part of, or, with
+    `stored`, what came since then; a stored bucket counts as earlier, as a whole."""
+    table = bucket_table(source, keys, measures, distincts, stored)
+    if stored is not None:
+        table = with_stored(table, keys, measures, distincts, stored)
+    # Placed once by entity: every frame below then works on local data.
+    table = table.withColumns({f"_{u}": times.index_of_tick(F.col(TICK), u) for u in UNITS}).repartition(*keys)
     every = [*features, *[distinct_feature(d, keys) for d in distincts]]
     early = {name: column for f in every for name, column in f.bucket.items()}
     late = {name: column for f in every for name, column in f.late.items()}
@@ -181,6 +227,8 @@ def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Se
     if late:
         table = table.withColumns(late)
     bucket_columns = [c for c in (*early, *late) if c not in hidden]
+    before = [] if stored is None else [f"_k_{m.name}" for m in measures] + [f"_k_in_{d.name}" for d in distincts]
+    bucket_columns += before
     table = table.select(*keys, TICK, *bucket_columns)
 
     # rows without a key are no entity: they see no bucket and none of one another
@@ -190,5 +238,7 @@ def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Se
     lanes = into_lanes(rows.withColumn(TICK, times.index(F.col("ms"), "tick")), keys, ARRIVAL, heavy)
     joined = (running(lanes, [*keys, TICK], ARRIVAL, here).done()
               .join(table, [*keys, TICK], "left"))
+    if before:
+        joined = joined.withColumns({p: merged(fn, F.col(p), F.col(p.replace("_p_", "_k_", 1))) for p, (fn, _) in here.items()})
     return (joined.withColumns({f.name: f.row for f in every})
             .drop(TICK, *here, *bucket_columns))

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.config import Config, MetricDef, WindowDef
 from tidewatch.functions import times
 from tidewatch.functions.values import quotient
-from tidewatch.operators.history import (ARRIVAL, Distinct, Feature, Measure, amount_now, attach, bucket_sum,
-                                         now, past, zero)
-from tidewatch.operators.signals import PAIR, with_cadence, with_pair_state
-from tidewatch.operators.skew import HeavyKeys, into_lanes, running
+from tidewatch.operators.history import (Distinct, Feature, Measure, Stored, amount_now, attach, bucket_sum, now, past,
+                                         zero)
+from tidewatch.operators.signals import running_with, with_cadence, with_pair_state
+from tidewatch.operators.skew import HeavyKeys
 
 ENTITIES = (
     ("customer_id",), ("receiver_account",), ("customer_id", "receiver_account"),
@@ -135,23 +135,22 @@ def key_sets(config: Config) -> list[tuple[str, ...]]:
 
 
 def with_metrics(rows: DataFrame, source: DataFrame, config: Config = Config(),
-                 heavy: HeavyKeys = HeavyKeys()) -> DataFrame:
+                 heavy: HeavyKeys = HeavyKeys(), stored: Stored | None = None) -> DataFrame:
     """Adds every configured metric. The plain pair count has no expiry and comes from the pair state."""
     check(config)
     out = rows
     if positions(config):
-        out = with_cadence(out, positions(config), heavy).drop("interarrival_cv")
+        out = with_cadence(out, positions(config), heavy, stored=stored).drop("interarrival_cv")
     if any(m.metric_id == "pair_txn_count_90d" for m in config.metrics):
-        out = with_pair_state(out, heavy).drop("pair_amount_sum", "pair_first_seen_ms", "pair_last_ms")
+        out = with_pair_state(out, heavy, stored).drop("pair_amount_sum", "pair_first_seen_ms", "pair_last_ms")
     for entity in ENTITIES:
         named = Config(config.windows, tuple(m for m in config.metrics
                                              if m.metric_id != "pair_txn_count_90d"), (), config.bands)
         features, measures, distincts = entity_parts(named, entity)
         for d in distincts:
             pair = (*entity, d.member)
-            out = running(into_lanes(out, pair, ARRIVAL, heavy), pair, ARRIVAL,
-                          {d.previous_ms: ("max", F.col("ms"))}).done()
+            out = running_with(out, pair, {d.previous_ms: ("max", F.col("ms"))}, {d.previous_ms: "last_ms"}, heavy, stored)
         if features or distincts:
-            out = attach(out, source, entity, measures or field_measures([]), features, distincts, heavy)
+            out = attach(out, source, entity, measures or field_measures([]), features, distincts, heavy, stored)
             out = out.drop(*[d.previous_ms for d in distincts])
     return out

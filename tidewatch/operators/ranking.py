@@ -6,13 +6,18 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.functions import times
+from tidewatch.functions.times import DAY_MS
 from tidewatch.functions.values import ratio
 from tidewatch.operators.skew import SkewPolicy, all_lanes, running
 
 
 def score_groups(scored: DataFrame, score: str = "score", label: str = "label",
                  amount: str = "amount_base", policy: SkewPolicy | None = None) -> DataFrame:
-    """One row per distinct score with outcome counts and amounts, and the counts below that score."""
+    """One row per distinct score with outcome counts and amounts, and the counts below that score.
+
+    Rows without a score cannot be ranked and are left out; `unscored` counts them.
+    """
     fraud = F.col(label) == 1
     money = F.col(amount) if amount in scored.columns else F.lit(0.0)
     groups = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
@@ -23,6 +28,12 @@ def score_groups(scored: DataFrame, score: str = "score", label: str = "label",
     return lanes.map(lambda df, by: df.fillna(0, ["pos_below", "neg_below"])).done()
 
 
+def unscored(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """How many rows, and how many positives, the ranking measures leave out for want of a score."""
+    missing = F.col(score).isNull()
+    return scored.agg(F.count_if(missing).alias("unscored"), F.count_if(missing & (F.col(label) == 1)).alias("unscored_positives"))
+
+
 def totals(groups: DataFrame) -> tuple[int, int]:
     row = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     return row.p or 0, row.n or 0
@@ -140,3 +151,29 @@ def ranks(rows: DataFrame, order: list[str], policy: SkewPolicy | None = None) -
     lanes = running(all_lanes(rows, order, policy), [], order, {"rank": ("sum", F.lit(1))})
     return lanes.done().withColumn("rank", F.coalesce("rank", F.lit(0)).cast("long") + 1)
 
+
+OLDEST = -(1 << 62)
+
+
+def newest_rows(rows: DataFrame, size: int, time: str = "ms", tie: str = "transaction_id",
+                widths: tuple[int, ...] = (DAY_MS, 60_000)) -> DataFrame:
+    """The `size` rows of the greatest `time`, ties by the smaller `tie`; rows without a time are the oldest.
+
+    Counts per day find the day of the cut, counts per minute of that day the minute. Only rows of that minute are
+    ordered against one another; later ones stay as they lie, without a shuffle.
+    """
+    at = F.coalesce(F.col(time), F.lit(OLDEST))
+    edge, low, need = None, None, size                  # rows from `edge` on stay; the cut is in [low, edge)
+    for width in widths:
+        bucket = times.floor_div(at, width)
+        inside = rows if low is None else rows.filter((at >= low) & (at < edge))
+        counted = inside.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect()   # days, minutes
+        for row in counted:
+            if row.n > need:
+                low, edge = row.b * width, (row.b + 1) * width
+                break
+            need -= row.n
+        else:
+            return rows if low is None else rows.filter(at >= low)
+    last = rows.filter((at >= low) & (at < edge)).orderBy(at.desc(), tie).limit(need)
+    return rows.filter(at >= edge).unionByName(last)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions import times
 from tidewatch.functions.values import quotient
-from tidewatch.operators.history import (ARRIVAL, TICK, Distinct, Feature, Measure, amount_now, attach,
-                                         between, bucket_sum, earlier_in, now, past, zero)
+from tidewatch.operators.history import (ARRIVAL, TICK, Distinct, Feature, Measure, Stored, amount_now, attach,
+                                         between, bucket_sum, earlier_in, merged, now, past, zero)
 from tidewatch.operators.skew import BORROWED, HeavyKeys, find_heavy, into_lanes, lend, running
 
 CUSTOMER = ("customer_id",)
@@ -59,15 +59,27 @@ def amount_measures() -> list[Measure]:
 
 # --- pairs ---------------------------------------------------------------------------------------
 
-def with_pair_state(txns: DataFrame, heavy: HeavyKeys = HeavyKeys()) -> DataFrame:
+def running_with(rows: DataFrame, keys: Sequence[str], measures: dict[str, tuple[str, Column]], columns: dict[str, str],
+                 heavy: HeavyKeys, stored: Stored | None) -> DataFrame:
+    """Running measures per key; `columns` names the stored column that each goes on from."""
+    out = running(into_lanes(rows, keys, ARRIVAL, heavy), keys, ARRIVAL, measures).done()
+    if stored is None:
+        return out
+    old = stored.pairs(keys).select(*keys, *[F.col(c).alias(f"_k_{name}") for name, c in columns.items()])
+    joined = out.join(old, list(keys), "left")
+    return joined.withColumns({name: merged(fn, F.col(name), F.col(f"_k_{name}")) for name, (fn, _) in measures.items()}) \
+                 .drop(*[f"_k_{name}" for name in columns])
+
+
+def with_pair_state(txns: DataFrame, heavy: HeavyKeys = HeavyKeys(), stored: Stored | None = None) -> DataFrame:
     """First time, count and sum of earlier payments of the same customer to the same payee."""
-    lanes = into_lanes(txns, PAIR, ARRIVAL, heavy)
-    out = running(lanes, PAIR, ARRIVAL, {
+    out = running_with(txns, PAIR, {
         "pair_txn_count_90d": ("sum", F.lit(1)),
         "pair_amount_sum": ("sum", amount()),
         "pair_first_seen_ms": ("min", F.col("ms")),
         "pair_last_ms": ("max", F.col("ms")),
-    }).done()
+    }, {"pair_txn_count_90d": "n", "pair_amount_sum": "amount_sum", "pair_first_seen_ms": "first_ms", "pair_last_ms": "last_ms"},
+        heavy, stored)
     known = F.col("customer_id").isNotNull() & F.col("receiver_account").isNotNull()
     count = F.when(known, zero(F.col("pair_txn_count_90d"))).otherwise(F.lit(0))
     return (out.withColumns({"pair_txn_count_90d": count,
@@ -75,16 +87,16 @@ def with_pair_state(txns: DataFrame, heavy: HeavyKeys = HeavyKeys()) -> DataFram
             .withColumn("new_payee", F.when(F.col("pair_txn_count_90d") == 0, 1.0).otherwise(0.0)))
 
 
-def with_device_sightings(txns: DataFrame, heavy: HeavyKeys = HeavyKeys()) -> DataFrame:
+def with_device_sightings(txns: DataFrame, heavy: HeavyKeys = HeavyKeys(), stored: Stored | None = None) -> DataFrame:
     """Last earlier use of the device by the same customer."""
-    lanes = into_lanes(txns, DEVICE_CUSTOMER, ARRIVAL, heavy)
-    return running(lanes, DEVICE_CUSTOMER, ARRIVAL, {"device_customer_last_ms": ("max", F.col("ms"))}).done()
+    return running_with(txns, DEVICE_CUSTOMER, {"device_customer_last_ms": ("max", F.col("ms"))},
+                        {"device_customer_last_ms": "last_ms"}, heavy, stored)
 
 
 # --- arrival order of one customer -----------------------------------------------------------------
 
 def with_cadence(txns: DataFrame, positions: dict[str, tuple[int, int | None]] | None = None,
-                 heavy: HeavyKeys = HeavyKeys(), guards: Guards = Guards()) -> DataFrame:
+                 heavy: HeavyKeys = HeavyKeys(), guards: Guards = Guards(), stored: Stored | None = None) -> DataFrame:
     """`interarrival_cv` over the last events, and the time of the n-th last payment per name.
 
     `positions` maps a name to (position counted from 0, oldest age in seconds or None).
@@ -109,7 +121,10 @@ def with_cadence(txns: DataFrame, positions: dict[str, tuple[int, int | None]] |
         return (df.withColumn("_gap", ms - F.lag("ms").over(order)).withColumns(made)
                 .filter(~F.col(BORROWED)).withColumns(out).drop("_gap", BORROWED, *made))
 
-    return lend(into_lanes(txns, CUSTOMER, ARRIVAL, heavy), CUSTOMER, ARRIVAL, memory).map(gaps).done()
+    lent = lend(into_lanes(txns, CUSTOMER, ARRIVAL, heavy), CUSTOMER, ARRIVAL, memory)
+    if stored is not None:
+        lent = lent.with_borrowed(stored.arrivals(), CUSTOMER)
+    return lent.map(gaps).done()
 
 
 # --- customers -------------------------------------------------------------------------------------
@@ -235,13 +250,14 @@ DEVICE_USERS = Distinct("device_distinct_customers", "customer_id", "day", 95, "
 
 def with_customer_signals(rows: DataFrame, source: DataFrame, heavy: HeavyKeys = HeavyKeys(),
                           guards: Guards = Guards(), more: Sequence[Feature] = (),
-                          more_measures: Sequence[Measure] = (), distinct: bool = True) -> DataFrame:
+                          more_measures: Sequence[Measure] = (), distinct: bool = True,
+                          stored: Stored | None = None) -> DataFrame:
     """Declines, amount anomaly and trend, velocity and dormancy; distinct payees need the pair state."""
     features = [*_decline_features(CUSTOMER), _zscore_feature(CUSTOMER, guards),
                 *_velocity_features(CUSTOMER, guards), _dormancy_feature(CUSTOMER),
                 _trend_feature(CUSTOMER, guards), *more]
     return attach(rows, source, CUSTOMER, [*customer_measures(), *more_measures], features,
-                  (PAYEES_24H, PAYEES_90D) if distinct else (), heavy)
+                  (PAYEES_24H, PAYEES_90D) if distinct else (), heavy, stored)
 
 
 # --- payees and devices ----------------------------------------------------------------------------
@@ -266,17 +282,17 @@ def _surge_feature(name: str, keys, guards: Guards) -> Feature:
 
 
 def with_payee_signals(rows: DataFrame, source: DataFrame, heavy: HeavyKeys = HeavyKeys(),
-                       guards: Guards = Guards(), distinct: bool = True) -> DataFrame:
+                       guards: Guards = Guards(), distinct: bool = True, stored: Stored | None = None) -> DataFrame:
     return attach(rows, source, PAYEE, [Measure("n", "sum", F.lit(1))],
                   [_surge_feature("bene_surge", PAYEE, guards)],
-                  (SENDERS_24H, SENDERS_90D) if distinct else (), heavy)
+                  (SENDERS_24H, SENDERS_90D) if distinct else (), heavy, stored)
 
 
 def with_device_signals(rows: DataFrame, source: DataFrame, heavy: HeavyKeys = HeavyKeys(),
-                        guards: Guards = Guards(), distinct: bool = True) -> DataFrame:
+                        guards: Guards = Guards(), distinct: bool = True, stored: Stored | None = None) -> DataFrame:
     return attach(rows, source, DEVICE, [Measure("n", "sum", F.lit(1))],
                   [_surge_feature("device_surge", DEVICE, guards)],
-                  (DEVICE_USERS,) if distinct else (), heavy)
+                  (DEVICE_USERS,) if distinct else (), heavy, stored)
 
 
 def with_safe_defaults(rows: DataFrame, ok: Column | None = None) -> DataFrame:

@@ -82,6 +82,16 @@ class Lanes:
         return Lanes(None if self.light is None else change(self.light, []),
                      None if self.wide is None else change(self.wide, [LANE]))
 
+    def with_borrowed(self, earlier: DataFrame, keys: Sequence[str]) -> "Lanes":
+        """Puts `earlier` rows (key and order columns) of each key in front of its rows, marked as borrowed."""
+        def lent(df: DataFrame, by: list[str]) -> DataFrame:
+            rows = earlier.withColumn(BORROWED, F.lit(True))
+            if by:                      # the first lane of a heavy key has what was there before
+                first = df.groupBy(*keys).agg(F.min(LANE).alias(LANE))
+                rows = rows.join(first, list(keys))
+            return df.unionByName(rows, allowMissingColumns=True)
+        return self.map(lent)
+
     def done(self) -> DataFrame:
         parts = [p for p in (self.light, None if self.wide is None else self.wide.drop(LANE)) if p is not None]
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

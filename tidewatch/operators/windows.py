@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.config import Config
+from tidewatch.config import Config, RuleDef
 from tidewatch.operators.history import ARRIVAL, Measure, amount_now, attach, bucket_sum, Feature, zero
 from tidewatch.operators.rules import band
 from tidewatch.operators.signals import CUSTOMER
 from tidewatch.operators.skew import HeavyKeys, into_lanes, running
-from tidewatch.session import pinned
+from tidewatch.session import pinned, scratch
 
 # Order of what happens at one instant: windows open, then rows arrive, then windows close.
 OPENS, ARRIVES, CLOSES = 0, 1, 2
@@ -23,14 +24,15 @@ def with_recent_count(rows: DataFrame, keys: Sequence[str], span_ms: int, name:
     """Earlier rows of the entity at most `span_ms` old, the edge included.
 
     Every row adds a marker where its window opens. Rows before the row minus rows before its marker
-    are the rows inside, so the window needs no range scan.
+    are the rows inside, so the window needs no range scan. Rows without a key are no entity and count nothing.
     """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     marked = rows.withColumns({"_turn": F.lit(ARRIVES), "_id": F.col("transaction_id")})
     markers = rows.select(*keys, (F.col("ms") - span_ms).alias("ms"), F.lit(OPENS).alias("_turn"),
                           "transaction_id", F.col("transaction_id").alias("_id"))
     both = marked.unionByName(markers, allowMissingColumns=True)
     counted = running(into_lanes(both, keys, MOMENT, heavy), keys, MOMENT,
-                      {"_seen": ("sum", F.when(F.col("_turn") == ARRIVES, 1).otherwise(0))}).done()
+                      {"_seen": ("sum", F.when(known & (F.col("_turn") == ARRIVES), 1).otherwise(0))}).done()
     # A row and its marker meet again by entity and id; a second row of the same id in one entity is an error.
     arrived = F.col("_turn") == ARRIVES
     kept = [c for c in rows.columns]
@@ -108,37 +110,45 @@ def with_idle_members(rows: DataFrame, entity: str, member: str, idle_ms: int, n
             .drop("_last", "_opened", "_since", "_met", "_fresh", "_sum", "_base"))
 
 
-def replay_decisions(rows: DataFrame, config: Config = Config(), heavy: HeavyKeys = HeavyKeys(),
-                     day_rule: tuple[int, float] = (3, 0.45), quarter_rule: tuple[int, float] = (3, 0.40),
-                     most_rounds: int = 200) -> DataFrame:
+DECLINES = {"customer_declines_24h": ("hour", 24), "customer_declines_90d": ("month", 3)}
+
+
+def decline_rules(config: Config) -> list[RuleDef]:
+    """The soft rules that read a decline count."""
+    return [r for r in config.rules if r.type == "soft" and any(name in r.condition for name in DECLINES)]
+
+
+def replay_decisions(rows: DataFrame, config: Config = Config(), heavy: HeavyKeys = HeavyKeys()) -> DataFrame:
     """Decisions when each decline feeds the decline counts of the customer's later transactions.
 
-    `rows` carry `base_score` (soft score without the two decline rules), `hard_block` and `hard_allow`.
-    A decision depends on earlier ones only and more declines never lower a score, so starting from no
-    declines and repeating the counts reaches the one consistent answer; each round adds declines to it.
+    `rows` carry `base_score` (soft score without the rules that read a decline count; these come from `config`),
+    `hard_block` and `hard_allow`. A decision depends on earlier ones only and more declines must never lower a score, so
+    starting from no declines and repeating the counts reaches the one consistent answer. Only customers whose last round
+    added a decline go on; a round fixes at least one more decision of each, so it ends. A null customer has no history.
     """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "replayed")
     blocked, allowed = F.col("hard_block"), F.col("hard_allow")
-    keep = [*rows.columns]
-    current = pinned(rows.withColumn("declined", blocked.cast("int")))
-    found = current.agg(F.sum("declined")).first()[0] or 0
-    for _ in range(most_rounds):
-        counts = [Feature(n, zero(F.col(f"_b_{n}")) + amount_now("d"),
-                          {f"_b_{n}": bucket_sum(CUSTOMER, "d", unit, -back, 0)})
-                  for n, unit, back in (("customer_declines_24h", "hour", 24),
-                                        ("customer_declines_90d", "month", 3))]
-        seen = attach(current, current, CUSTOMER, [Measure("d", "sum", F.col("declined"))], counts, (), heavy)
-        soft = (F.col("base_score")
-                + F.when(F.col("customer_declines_90d") >= quarter_rule[0], quarter_rule[1]).otherwise(0.0)
-                + F.when(F.col("customer_declines_24h") >= day_rule[0], day_rule[1]).otherwise(0.0))
-        score = F.when(blocked, 1.0).when(allowed, 0.0).otherwise(F.least(F.lit(1.0), soft))
-        decided = seen.withColumn("final_score", score).withColumn(
-            "decision", F.when(blocked, "decline").when(allowed, "approve")
-            .otherwise(band(F.col("final_score"), config.bands)))
-        current = pinned(decided.withColumn("declined", (F.col("decision") == "decline").cast("int"))
-                         .select(*dict.fromkeys([*keep, "declined", "customer_declines_24h",
-                                                 "customer_declines_90d", "final_score", "decision"])))
-        now_found = current.agg(F.sum("declined")).first()[0] or 0
-        if now_found == found:
-            return current.drop("declined") if "declined" not in keep else current
-        found = now_found
-    raise RuntimeError(f"decisions still change after {most_rounds} rounds")
+    counts = [Feature(n, zero(F.col(f"_b_{n}")) + amount_now("d"), {f"_b_{n}": bucket_sum(CUSTOMER, "d", unit, -back, 0)})
+              for n, (unit, back) in DECLINES.items()]
+    soft = F.col("base_score")
+    for r in decline_rules(config):
+        soft = soft + F.when(F.coalesce(F.expr(r.condition), F.lit(False)), float(r.weight or 0.0)).otherwise(0.0)
+    score = F.when(blocked, 1.0).when(allowed, 0.0).otherwise(F.least(F.lit(1.0), soft))
+    decision = F.when(blocked, "decline").when(allowed, "approve").otherwise(band(F.col("final_score"), config.bands))
+    keep = [c for c in rows.columns if c != "declined"]
+    out = [*keep, "declined", *DECLINES, "final_score", "decision"]
+    active, number = pinned(rows.select(*keep).withColumn("declined", blocked.cast("int"))), 0
+    while True:
+        seen = attach(active, active, CUSTOMER, [Measure("d", "sum", F.col("declined"))], counts, (), heavy)
+        decided = seen.withColumn("final_score", score).withColumn("decision", decision)
+        now = decided.withColumnRenamed("declined", "_was").withColumn("declined", (F.col("decision") == "decline").cast("int"))
+        now = pinned(now.select(*out, "_was"))
+        moved = now.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+            F.max((F.col("declined") != F.col("_was")).cast("int")).alias("_moved")).filter(F.col("_moved") == 1).select("customer_id")
+        moved = pinned(moved)
+        now.join(moved, "customer_id", "left_anti").select(*out).write.mode("overwrite").parquet(f"{path}/round={number}")
+        if moved.isEmpty():
+            schema = now.select(*out).schema
+            done = spark.read.schema(schema).parquet(path).select(*out)
+            return done if "declined" in rows.columns else done.drop("declined")
+        active, number = now.join(moved, "customer_id", "left_semi").select(*keep, "declined"), number + 1

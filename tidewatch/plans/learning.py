@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -146,12 +147,35 @@ def register(spark: SparkSession, path: str, version: str, role: str, model_path
 
 
 def _append(spark: SparkSession, path: str, entries: list[tuple]) -> None:
-    """All entries in one file of one write, so a reader sees all of them or none."""
+    """All entries in one file of one write, so a reader sees all of them or none. Their numbers are this writer's alone."""
     last = registry(spark, path).agg(F.max("seq")).first()[0] or 0
-    rows = [(*e, last + k + 1) for k, e in enumerate(entries)]
+    rows = []
+    for e in entries:
+        last = claimed(spark, f"{path.rstrip('/')}-numbers", last + 1)
+        rows.append((*e, last))
     spark.createDataFrame(rows, REGISTRY).coalesce(1).write.mode("append").parquet(path)
 
 
+def claimed(spark: SparkSession, folder: str, least: int) -> int:
+    """The smallest free number from `least` on, taken by creating its file, which fails for all writers but one."""
+    jvm, number = spark.sparkContext._jvm, least
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(target)
+    while True:
+        own = jvm.org.apache.hadoop.fs.Path(target, str(number))
+        try:
+            if store.getScheme() == "file":         # Hadoop looks before it creates there; the system call does both at once
+                open(own.toUri().getPath(), "x").close()
+            else:
+                store.create(own, False).close()
+            return number
+        except (FileExistsError, Py4JJavaError) as problem:
+            if isinstance(problem, Py4JJavaError) and not store.exists(own):
+                raise
+            number += 1
+
+
 def promote(spark: SparkSession, path: str, version: str) -> None:
     """Makes `version` the champion and retires the one before, in one write: there is a champion at any time."""
     now = registry(spark, path).filter((F.col("role") == "champion") | (F.col("version") == version)).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.config import METRICS, Config, LinearModel
 from tidewatch.operators import refjoin
+from tidewatch.operators.history import Stored
 from tidewatch.operators.metrics import check, entity_parts, positions, with_metrics
 from tidewatch.operators.rules import linear_probability, with_decision, with_rules
 from tidewatch.operators.signals import (CUSTOMER, SAFE_DEFAULTS, Guards, with_cadence, with_customer_signals,
@@ -31,24 +32,29 @@ class Reference:
 
 
 def with_history(txns: DataFrame, config: Config = Config(), heavy: HeavyKeys = HeavyKeys(),
-                 guards: Guards = Guards()) -> DataFrame:
-    """All metrics and signals of each transaction, from the transactions before it."""
+                 guards: Guards = Guards(), stored: Stored | None = None) -> DataFrame:
+    """All metrics and signals of each transaction, from the transactions before it and from what is `stored`."""
     check(config)
-    rows = with_device_sightings(with_pair_state(txns, heavy), heavy)
-    rows = with_cadence(rows, positions(config), heavy, guards)
+    rows = with_device_sightings(with_pair_state(txns, heavy, stored), heavy, stored)
+    rows = with_cadence(rows, positions(config), heavy, guards, stored)
     features, measures, distincts = entity_parts(config, CUSTOMER)
     if distincts:
         raise ValueError("customer distinct counts are signals already")
-    rows = with_customer_signals(rows, txns, heavy, guards, features, [m for m in measures if m.name != "n"])
-    rows = with_payee_signals(rows, txns, heavy, guards)
-    rows = with_device_signals(rows, txns, heavy, guards)
+    rows = with_customer_signals(rows, txns, heavy, guards, features, [m for m in measures if m.name != "n"], stored=stored)
+    rows = with_payee_signals(rows, txns, heavy, guards, stored=stored)
+    rows = with_device_signals(rows, txns, heavy, guards, stored=stored)
     # The standard payee and pair metrics are among the signals above.
-    extra = tuple(m for m in config.metrics if m.entity != CUSTOMER and m not in METRICS)
-    if extra:
-        rows = with_metrics(rows, txns, replace(config, metrics=extra), heavy)
+    extra = further(config)
+    if extra.metrics:
+        rows = with_metrics(rows, txns, extra, heavy, stored)
     return rows.drop(*HELPERS)
 
 
+def further(config: Config) -> Config:
+    """The configured metrics that no signal covers."""
+    return replace(config, metrics=tuple(m for m in config.metrics if m.entity != CUSTOMER and m not in METRICS))
+
+
 def with_reference(rows: DataFrame, ref: Reference) -> DataFrame:
     rows = refjoin.with_account_age(rows, ref.customers)
     rows = refjoin.with_payee_country(rows, ref.payees)

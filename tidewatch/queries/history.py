@@ -395,4 +395,22 @@ def closed_loop(spark, folder):
         out.select("transaction_id", "decision"), "transaction_id")
 
 
-register("closed_loop_replay", closed_loop)
+# Each customer's k-th row in turn, with the hours and months of the declines so far.
+register("closed_loop_replay", closed_loop, f"""
+WITH RECURSIVE {txn_sql()},
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ms, transaction_id) AS k,
+  (CAST(round(amount * 7) AS BIGINT) % 100) / 100.0::DOUBLE AS base FROM txn),
+loop AS (
+  SELECT transaction_id, customer_id, k, CAST(0 AS BIGINT) AS d24, CAST(0 AS BIGINT) AS d90, base AS final,
+    CASE WHEN base >= 0.7 THEN [h] ELSE CAST([] AS BIGINT[]) END AS hours, CASE WHEN base >= 0.7 THEN [mon] ELSE CAST([] AS BIGINT[]) END AS months
+  FROM r WHERE k = 1
+  UNION ALL
+  SELECT transaction_id, customer_id, k, d24, d90, final, CASE WHEN final >= 0.7 THEN list_append(hours, h) ELSE hours END,
+    CASE WHEN final >= 0.7 THEN list_append(months, mon) ELSE months END
+  FROM (SELECT *, least(1.0::DOUBLE, base + CASE WHEN d90 >= 3 THEN 0.40::DOUBLE ELSE 0 END + CASE WHEN d24 >= 3 THEN 0.45::DOUBLE ELSE 0 END) AS final
+    FROM (SELECT r.transaction_id, r.customer_id, r.k, r.base, r.h, r.mon, l.hours, l.months,
+        CAST(len(list_filter(l.hours, lambda x: x >= r.h - 24)) AS BIGINT) AS d24,
+        CAST(len(list_filter(l.months, lambda x: x >= r.mon - 3)) AS BIGINT) AS d90
+      FROM loop l JOIN r ON r.customer_id = l.customer_id AND r.k = l.k + 1)))
+SELECT transaction_id, d24 AS customer_declines_24h, d90 AS customer_declines_90d, round(final, 6) AS final_score,
+  CASE WHEN final >= 0.7 THEN 'decline' WHEN final >= 0.3 THEN 'review' ELSE 'approve' END AS decision FROM loop""")

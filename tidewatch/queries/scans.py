@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.operators.ranking import ranks
+from tidewatch.operators.ranking import newest_rows, ranks
 from tidewatch.queries.common import LISTS, PROFILES, SCORED, txn_sql
 from tidewatch.session import scratch
 from tidewatch.sources import files
@@ -106,9 +106,9 @@ WITH {txn_sql()} SELECT 'case ' || transaction_id AS label, 'review' AS expected
 
 
 def newest_events(spark, folder):
-    """Retention by count: the newest 1,000 events, found from ranks instead of one sorted list."""
-    e = scored_events(spark, folder).select("transaction_id", (-F.col("ms")).alias("age"))
-    return ranks(e, ["age", "transaction_id"]).filter(F.col("rank") <= 1000).select("transaction_id", "rank")
+    """Retention by count: the newest 1,000 events, found from counts per day and minute, then ranked among themselves."""
+    kept = newest_rows(scored_events(spark, folder).select("transaction_id", "ms"), 1000)
+    return ranks(kept.withColumn("age", -F.col("ms")), ["age", "transaction_id"]).select("transaction_id", "rank")
 
 
 register("newest_event_retention", newest_events, f"""

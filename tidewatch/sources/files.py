@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch import schemas
 from tidewatch.functions.times import utc_date
@@ -102,13 +102,8 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def audit_table(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet(spark, path, schemas.AUDIT)
+    return read_parquet(spark, path, schemas.AUDIT).select(*schemas.AUDIT.fieldNames())
 
 
 def label_table(spark: SparkSession, path: str) -> DataFrame:
     return read_parquet(spark, path, schemas.LABEL)
-
-
-def recent(audit: DataFrame, since: Column) -> DataFrame:
-    """Retention as partition pruning."""
-    return audit.filter(F.col("dt") >= since)

@@ -1,7 +1,10 @@
-"""Writers for the audit table, labels, list entries and metric frames."""
+"""Writers for the audit table and labels, and the form that any other sink has."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch import schemas
@@ -10,18 +13,38 @@ from tidewatch import schemas
 ROWS_PER_FILE = 200_000
 
 
+class Sink(Protocol):
+    """Where scored rows go. A batch may come again under its id and must then replace what it wrote."""
+
+    def write(self, rows: DataFrame, batch_id: int) -> None: ...
+
+
+@dataclass(frozen=True)
+class AuditSink:
+    """The audit table by day and batch."""
+
+    path: str
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        write_audit(rows, self.path, batch=batch_id)
+
+
 def write_audit(records: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
-                files_per_day: int | None = None) -> None:
-    """Append by day. One busy day spreads over `files_per_day` tasks (by default one per shuffle partition)."""
+                files_per_day: int | None = None, batch: int | None = None) -> None:
+    """Append by day. One busy day spreads over `files_per_day` tasks (by default one per shuffle partition).
+
+    With `batch` the rows lie under day and batch, and writing a batch again replaces it.
+    """
     spread = files_per_day or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lane = F.pmod(F.xxhash64("transaction_id"), F.lit(spread))
-    (records.select(*schemas.AUDIT.fieldNames()).repartition("dt", lane)
-     .write.option("maxRecordsPerFile", rows_per_file).partitionBy("dt").mode("append").parquet(path))
+    rows = records.select(*schemas.AUDIT.fieldNames()).repartition("dt", lane)
+    if batch is None:
+        writer = rows.write.partitionBy("dt").mode("append")
+    else:
+        writer = (rows.withColumn("batch", F.lit(batch)).write.partitionBy("dt", "batch").mode("overwrite")
+                  .option("partitionOverwriteMode", "dynamic"))
+    writer.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
     labels.select(*schemas.LABEL.fieldNames()).write.mode("append").parquet(path)
-
-
-def write_entries(entries: DataFrame, path: str) -> None:
-    entries.select(*schemas.ENTRY.fieldNames()).write.mode("append").parquet(path)
