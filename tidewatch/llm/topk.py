@@ -1,10 +1,9 @@
-"""Exact top-k search by inner product: sorted lists per component, read in order, with score bounds (Fagin et al., 2001).
+"""Exact top-k search by inner product: sorted lists per component, read without random access (Fagin et al., 2001).
 
-Candidates and queries are packed into blocks, and every pair of blocks is one row, so Spark deals out the work. Inside
-a pair, each component gives a list of the candidates by their part of the score. Lists are read side by side from the
-top, without random access: what was read of a candidate gives a lower bound (the rest at its list's least value) and an
-upper bound (the rest at the value last read). A candidate whose upper bound is below the k-th lower bound goes. Reading
-stops when few enough are left; their final scores are resolved.
+Candidates are dealt over groups, and queries stream past each group, whose lists are sorted once. A query reads the lists
+side by side from the top, depth by depth: what was read of a candidate gives a lower bound (the rest at its list's least
+value) and an upper bound (the rest at the value last read). A candidate whose upper bound is below the k-th lower bound
+goes. Reading stops when the few left cost less than the next depth; only their unread components are then multiplied.
 """
 
 from __future__ import annotations
@@ -12,16 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import map_batches, values
+from tidewatch.llm.text import values
+from tidewatch.llm.vectors import matrix, past_groups
 
-#: Rows of a candidate block and of a query block.
-BLOCK, QUERIES = 2048, 256
 #: Parts of the lists that are read before the bounds are looked at.
-DEPTHS = (0.5, 0.75, 0.9, 1.0)
+DEPTHS = (0.06, 0.12, 0.25, 0.37, 0.5, 0.62, 0.75, 0.87, 1.0)
 
 
 def whole_components(vectors: DataFrame, column: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -33,86 +30,87 @@ def whole_components(vectors: DataFrame, column: str = "embedding", scale: int =
         F.transform(column, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"))
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about `size` rows with equally many components: ids and values as little-endian long."""
-    blocks = max(1, -(-rows.count() // size))
-    dealt = rows.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-
-    def pack(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts_ = [], []
-        for part in parts:
-            ids.append(np.asarray(part.column(0)))
-            parts_.append(np.asarray(part.column(1).flatten()))
-        own = np.concatenate(ids).astype("<i8")
-        flat = np.concatenate(parts_).astype("<i8").reshape(len(own), -1)
-        order = np.lexsort([*flat.T[::-1], own]) if len(own) else []
-        own, flat = own[order], flat[order]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()),
-                                          pa.array([own.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())],
-                                         names=[f"{name}_block", "dims", f"{name}_ids", f"{name}_values"])
-
-    return dealt.groupBy("block", "dims").applyInArrow(pack, f"{name}_block long, dims int, {name}_ids binary, {name}_values binary")
-
-
 class SortedLists:
-    """The candidates of a block by every component."""
+    """The candidates of a group by every component, from the least value up; `read` counts the components read."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.rank = np.empty(order.shape, np.int32)                     # place from the least value up
-        np.put_along_axis(self.rank, order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
-        self.least_first = np.take_along_axis(rows, order, axis=0)
+        self.ids, self.rows, self.read = ids, rows, 0
+        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+        self.rank = np.empty(rows.shape, np.int32)
+        np.put_along_axis(self.rank, self.order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
+        self.sorted = np.take_along_axis(rows, self.order, axis=0)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates but `own`, ties to the smaller id."""
-        count = len(self.ids)
-        up = query >= 0
+        count, dims, up = len(self.ids), len(query), query >= 0
         left = np.flatnonzero(self.ids != own)
-        part, place = self.rows[left] * query, self.rank[left]
-        worst = np.where(up, self.least_first[0], self.least_first[-1]) * query if count else query
-        for depth in DEPTHS:
-            if len(left) <= 4 * k:
+        if not len(left):
+            return self.ids[:0], np.zeros(0, np.int64)
+        known, done = np.zeros(count, np.int64), 0
+        seen = np.zeros((len(left), dims), bool)
+        worst = np.where(up, self.sorted[0], self.sorted[-1]) * query
+        ends = [max(1, int(count * depth)) for depth in DEPTHS]
+        for end, next_end in zip(ends, [*ends[1:], count]):
+            if end > done:
+                for lists, low, high in ((up, count - end, count - done), (~up, done, end)):
+                    np.add.at(known, self.order[low:high, lists], self.sorted[low:high, lists] * query[lists])
+                self.read += (end - done) * dims
+                done = end
+            edge = np.where(up, self.sorted[count - done], self.sorted[done - 1]) * query       # the value last read
+            place = self.rank[left]
+            seen = np.where(up, place >= count - done, place < done)
+            low = known[left] + np.where(seen, 0, worst).sum(axis=1)
+            high = known[left] + np.where(seen, 0, edge).sum(axis=1)
+            if len(left) > k:
+                stay = high >= np.partition(low, len(low) - k)[len(low) - k]
+                left, seen = left[stay], seen[stay]
+            if len(left) * (count - done) <= (next_end - done) * count:
                 break
-            read = max(1, int(count * depth))
-            edge = np.where(up, self.least_first[count - read], self.least_first[read - 1]) * query     # the value last read
-            seen = (place >= np.where(up, count - read, 0)) & (place < np.where(up, count, read))
-            low = np.where(seen, part, worst).sum(axis=1)
-            high = low + np.where(seen, 0, edge - worst).sum(axis=1)
-            bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else low.min(initial=0)
-            stay = high >= bar
-            left, part, place = left[stay], part[stay], place[stay]
-        final = part.sum(axis=1)
+        final = known[left] + (self.rows[left] * query * ~seen).sum(axis=1)
+        self.read += int((~seen).sum())
         best = np.lexsort([self.ids[left], -final])[:k]
         return self.ids[left][best], final[best]
 
 
+def _lists(parts: list) -> dict[int, SortedLists]:
+    """Sorted lists for every number of components among the candidates of a group."""
+    out: dict[int, list] = {}
+    for part in parts:
+        ids, sizes = np.asarray(part.column(2), np.int64), part.column(4).value_lengths().to_numpy(zero_copy_only=False)
+        for dims in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == dims)
+            out.setdefault(dims, []).append((ids[own], matrix(part.column(4).take(own), dims)))
+    return {dims: SortedLists(*(np.concatenate(side) for side in zip(*found))) for dims, found in out.items()}
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest integer inner products of every query with the other rows.
 
-    Both tables have vec_id and v array<long>; a query never meets a row of its own id. Ties go to the smaller vec_id;
-    repeated rows of one id are candidates each and queries once. Vectors meet vectors of as many components. Fewer than k
-    candidates are returned all; empty tables give an empty result. Sums must fit 64 bits.
+    Both tables have vec_id and v array<long>, neither null; other columns are ignored. A query never meets a row of its own
+    id. Ties go to the smaller vec_id; repeated rows of one id are candidates each and queries once. Vectors meet vectors of
+    as many components. Fewer than k candidates are returned all; empty tables give an empty result. Sums must fit 64 bits.
     """
-    asked = _packed(queries.groupBy("vec_id").agg(F.min("v").alias("v")), QUERIES, "q")
-    given = _packed(candidates, BLOCK, "c")
-    pairs = asked.join(given, "dims")                                   # blocks of queries against all blocks
-    count = candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    pairs = pairs.repartition(int(count), "q_block", "c_block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for dims, q_ids, q_rows, c_ids, c_rows in zip(*(values(batch, n) for n in ("dims", "q_ids", "q_values", "c_ids", "c_values"))):
-                lists = SortedLists(np.frombuffer(c_ids, "<i8"), np.frombuffer(c_rows, "<i8").reshape(-1, dims) if dims else np.zeros((len(c_ids) // 8, 1), np.int64))
-                asked_ = np.frombuffer(q_rows, "<i8").reshape(-1, dims) if dims else np.zeros((len(q_ids) // 8, 1), np.int64)
-                out: dict = {"query_id": [], "vec_id": [], "score": []}
-                for own, query in zip(np.frombuffer(q_ids, "<i8"), asked_):
-                    ids, scores = lists.top(query, own, k)
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    def search(parts: Iterator[tuple]) -> Iterator[dict]:
+        lists, waiting = None, []
+        for given, query_rows, first in parts:
+            if first:
+                lists, waiting = None, []
+            if given is not None:
+                waiting.append(given)
+                continue
+            if lists is None:
+                lists, waiting = _lists(waiting), []
+            out: dict = {"query_id": [], "vec_id": [], "score": []}
+            for own, query in zip(values(query_rows, "vec_id"), values(query_rows, "v")):
+                if len(query) in lists:
+                    ids, scores = lists[len(query)].top(np.array(query, np.int64), own, k)
                     out["query_id"].extend([own] * len(ids))
                     out["vec_id"].extend(ids)
                     out["score"].extend(scores)
-                yield out
+            yield out
 
-    found = map_batches(pairs, search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")   # k rows for each block of candidates
+    found = past_groups(asked, candidates.select("vec_id", "v"), search, "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")   # k rows for each group of candidates
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.text import map_batches
+
 #: Candidates of one group: what a task holds, 32 MB at 64 components. Fewer candidates are dealt over the cores.
 GROUP, LEAST = 1 << 16, 1 << 10
 
@@ -40,18 +42,22 @@ def past_groups(queries: DataFrame, candidates: DataFrame, search: Callable[[Ite
 
     Candidates are dealt over groups of at most about GROUP rows by hash; queries, which must be few beside them, are
     sent to every group. In a group the candidates come first and the queries stream past what was built from them, so a
-    task holds one group and one batch. Each table has vec_id and v; queries may have a column `more`, which `search`
-    gets with them, candidates a column `label`. `search` gets an iterator of (batch of candidates or None, batch of
-    queries or None, first of its group).
+    task holds one group and one batch. Each table has vec_id and v, and may have a number `label`; queries may have a
+    column `more`. `search` gets an iterator of (batch of candidates or None, batch of queries or None, first of its
+    group), with the columns grp, kind, vec_id, label, v, more.
     """
     spark = candidates.sparkSession
     count = candidates.count()
     groups = max(1, -(-count // GROUP), min(spark.sparkContext.defaultParallelism, -(-count // LEAST)))
-    more = queries.schema["more"].dataType.simpleString()
-    given = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("grp"), F.lit(0).alias("kind"),
-                              "vec_id", "label", "v", F.lit(None).cast(more).alias("more"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(1).alias("kind"),
-                           "vec_id", "label", "v", "more")
+    more = queries.schema["more"].dataType.simpleString() if "more" in queries.columns else "int"
+
+    def side(df: DataFrame, group: Column, kind: int) -> DataFrame:
+        label = F.col("label").cast("long") if "label" in df.columns else F.lit(0).cast("long")
+        extra = F.col("more") if kind and "more" in df.columns else F.lit(None).cast(more)
+        return df.select(group.alias("grp"), F.lit(kind).alias("kind"), "vec_id", label.alias("label"), "v", extra.alias("more"))
+
+    given = side(candidates, F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int"), 0)
+    asked = side(queries, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))), 1)
     both = given.unionByName(asked).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "kind", "vec_id")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -66,5 +72,4 @@ def past_groups(queries: DataFrame, candidates: DataFrame, search: Callable[[Ite
                     yield (part, None, own != last) if kind == 0 else (None, part, own != last)
                     last = own
 
-    from tidewatch.llm.text import map_batches
     return map_batches(both, lambda batches: search(parts(batches)), schema)
