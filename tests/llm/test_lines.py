@@ -14,7 +14,7 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, threshold, min_chars):
+def brute(rows, threshold, min_chars, short=1):
     first, copies = {}, {}
     for doc, text in rows:
         for k, line in enumerate((text or "").split("\n")):
@@ -23,8 +23,10 @@ def brute(rows, threshold, min_chars):
                 first[line] = min(first.get(line, place), place)
                 copies[line] = copies.get(line, 0) + 1
     known = sorted(first)
-    near = {x: [y for y in known if x != y and min(len(x), len(y)) >= min_chars and abs(len(x) - len(y)) <= threshold
-                and distance(x, y) <= threshold] for x in known}
+    def linked(x, y):
+        edits = threshold if min(len(x), len(y)) >= min_chars else short
+        return x != y and min(len(x), len(y)) > edits and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits
+    near = {x: [y for y in known if linked(x, y)] for x in known}
     out = []
     for line in known:
         seen, todo = {line}, [line]
@@ -62,6 +64,16 @@ def test_all_pairs(spark):
     assert run(spark, []) == []
 
 
+def test_short_lines(spark):
+    rng = random.Random(8)
+    rows = [(k, "\n".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(4))) for k in range(15)]
+    rows += [(50, "Subscribe now\nRead more here"), (51, "Subscribe now!\nread more here"), (52, "fifteen letters\nfifteen letters!\nfifteen letters!!"),
+             (53, "sixteen letters!\nsixteen letters"), (54, "a\nb\nab\nac")]
+    assert run(spark, rows) == brute(rows, 2, 16)
+    assert run(spark, rows, threshold=3, min_chars=4, short=2) == brute(rows, 3, 4, 2)
+    assert run(spark, rows, short=0) == brute(rows, 2, 16, 0)
+
+
 def test_band(spark):
     rng = random.Random(1)
     pairs = [("".join(rng.choice("ab") for _ in range(rng.randrange(9))), "".join(rng.choice("ab") for _ in range(rng.randrange(9)))) for _ in range(600)]

@@ -1,7 +1,7 @@
 """Line dedup: a segment-partition edit join of distinct lines (Pass-Join, Li et al., 2011), in DataFrame functions only.
 
 Of two lines within `threshold` edits, the shorter one cut into threshold + 1 segments has a segment that stands in the
-longer one, near its own place. So every line posts its segments under (segment number, its length), and probes, for its
+longer one, near its own place. The shorter line's length sets the threshold of a pair. So every line posts its segments under (segment number, its length), and probes, for its
 own length and each length up to `threshold` less, the few substrings that can match a segment (multi-match-aware
 selection). Of lines that meet, neither may have more than `threshold` common letters beyond the other's; the others are
 never paired. Pairs are verified by a band of 2 * threshold + 1 diagonals, kept as the bits of one number per error count.
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.graph import components
 from tidewatch.llm.store import kept
 
-THRESHOLD = 2
-#: Shorter lines (in code points) are compared for equality only: two edits leave nothing of them.
-MIN_CHARS = 16
+#: Edits between lines, and between lines of which one is shorter than MIN_CHARS code points.
+THRESHOLD, SHORT, MIN_CHARS = 2, 1, 16
 #: Letters whose numbers are compared before two lines are paired; each is kept modulo 32, in 5 bits of one long.
 LETTERS = "eatonrishdlu"
 
@@ -37,9 +36,9 @@ def _segment(length: Column, number: Column, threshold: int) -> tuple[Column, Co
     return base * number + later, base + (number >= F.lit(threshold + 1) - longer).cast("int")
 
 
-def _posted(long_: DataFrame, threshold: int) -> DataFrame:
-    """key, a, ca: one row for every segment of a line."""
-    every = long_.select("line", "chars", F.col("id").alias("a"), F.col("counts").alias("ca"),
+def _posted(lines: DataFrame, threshold: int, low: int, high: int) -> DataFrame:
+    """key, a, ca: one row for every segment of a line of `low` to `high` code points."""
+    every = lines.where(F.col("chars").between(low, high)).select("line", "chars", F.col("id").alias("a"), F.col("counts").alias("ca"),
                          F.explode(F.array(*[F.lit(i) for i in range(threshold + 1)])).alias("i"))
     start, size = _segment(F.col("chars"), F.col("i"), threshold)
     return every.select(F.xxhash64("i", "chars", F.substring("line", start + 1, size)).alias("key"), "a", "ca")
@@ -55,16 +54,17 @@ def _probes(threshold: int) -> list[int]:
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)]
 
 
-def _probed(long_: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """key, equal (the other line is of the same length), b, cb: one row for every substring a line probes."""
+def _probed(lines: DataFrame, threshold: int, low: int, high: int) -> DataFrame:
+    """key, equal (the other line is of the same length), b, cb: one row for every substring by which a line probes for
+    lines of `low` to `high` code points, none longer than itself."""
     if not 0 <= threshold < 16:
         raise ValueError("threshold must be from 0 to 15")
-    every = long_.select("line", "chars", F.col("id").alias("b"), F.col("counts").alias("cb"),
+    every = lines.where(F.col("chars").between(low, high + threshold)).select("line", "chars", F.col("id").alias("b"), F.col("counts").alias("cb"),
                          F.explode(F.array(*[F.lit(p) for p in _probes(threshold)])).alias("p"))
     number, less = F.shiftright("p", 5).bitwiseAND(15), F.shiftright("p", 9)
     start, size = _segment(F.col("chars") - less, number, threshold)
     at = start + F.col("p").bitwiseAND(31) - 16
-    fits = (at >= 0) & (at + size <= F.col("chars")) & (F.col("chars") - less >= min_chars)
+    fits = (at >= 0) & (at + size <= F.col("chars")) & (F.col("chars") - less).between(low, high)
     key = F.xxhash64(number, F.col("chars") - less, F.substring("line", at + 1, size))
     return every.where(fits).select(key.alias("key"), (less == 0).alias("equal"), "b", "cb")
 
@@ -121,21 +121,27 @@ def within_edits(left: str, right: str, threshold: int) -> Column:
     return F.coalesce(F.transform(split, last)[0].bitwiseAND(bit) != 0, F.lit(False))
 
 
-def _classes(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+def _classes(docs: DataFrame, threshold: int, min_chars: int, short: int) -> DataFrame:
     """id (hash), first (place), copies, links and head (the class's first place) of every distinct line."""
     found = all_lines(docs).groupBy("line").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     lines = kept(found.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("chars"), "copies", "first",
                               _letter_counts().alias("counts")), "lines")
-    long_ = lines.where(F.col("chars") >= min_chars)
-    index, probe = _posted(long_, threshold), _probed(long_, threshold, min_chars)
-    met = index.join(probe, "key").where((F.col("a") < F.col("b")) | (~F.col("equal") & (F.col("a") != F.col("b")))) \
-        .where(_near_counts("ca", "cb", threshold))
-    pairs = kept(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sizes = [(threshold, max(min_chars, threshold + 1), (1 << 31) - 1 - threshold), (short, short + 1, min_chars - 1)]
+    sizes = [(edits, low, high) for edits, low, high in sizes if edits and low <= high]
+
+    def met(edits: int, low: int, high: int) -> DataFrame:
+        index, probe = _posted(lines, edits, low, high), _probed(lines, edits, low, high)
+        return index.join(probe, "key").where((F.col("a") < F.col("b")) | (~F.col("equal") & (F.col("a") != F.col("b")))) \
+            .where(_near_counts("ca", "cb", edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(edits).alias("edits"))
+
+    none = lines.where(F.lit(False)).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("edits"))
+    pairs = kept(reduce(DataFrame.union, [met(*s) for s in sizes] or [none]).distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = kept(lines.join(asked, "id", "left_semi").select("id", "line"), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a") \
         .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    links = kept(both.where(within_edits("la", "lb", threshold)).select("a", "b"), "links")
+    near = reduce(lambda x, y: x | y, [(F.col("edits") == edits) & within_edits("la", "lb", edits) for edits, _, _ in sizes] or [F.lit(False)])
+    links = kept(both.where(near).select("a", "b"), "links")
     number = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     linked = components(links).join(lines.select("id", "first"), F.col("node") == F.col("id")).select("id", "root", "first")
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
@@ -149,22 +155,23 @@ def _row(doc_id: Column, line_no: Column) -> list[Column]:
             F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").cast("long").alias("class_line_no")]
 
 
-def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: int = SHORT) -> DataFrame:
     """One row for every distinct line of `docs`: its first place, number of copies and links, and its class.
 
-    doc_id and line_no are its first place (smallest doc_id, then line; a null doc_id comes first). Lines link when both
-    have at least `min_chars` code points and lie within `threshold` edits. class_doc_id and class_line_no are the first
-    place of any line that links reach. A null, empty or blank-free text has no lines but its non-empty ones; repeated
+    doc_id and line_no are its first place (smallest doc_id, then line; a null doc_id comes first). Lines link when they lie
+    within `threshold` edits, or within `short` edits if the shorter has under `min_chars` code points; lines of no more
+    code points than edits are compared for equality only. class_doc_id and class_line_no are the first place of any line
+    that links reach. A null, empty or blank-free text has no lines but its non-empty ones; repeated
     rows are copies. Lines are told apart by a 64-bit hash. Other columns are ignored, an empty table gives an empty one.
     """
-    return _classes(docs, threshold, min_chars).select(*_row(F.col("first.doc_id"), F.col("first.line_no")))
+    return _classes(docs, threshold, min_chars, short).select(*_row(F.col("first.doc_id"), F.col("first.line_no")))
 
 
-def line_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_places(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: int = SHORT) -> DataFrame:
     """near_lines() with one row for every place of a line, each with its own doc_id and line_no.
 
     n_copies and n_links are the line's, so the places of a copied line agree in them and in their class.
     """
     places = all_lines(docs).select(F.xxhash64("line").alias("id"), "doc_id", "line_no")
-    classes = _classes(docs, threshold, min_chars).select("id", "copies", "links", "head")
+    classes = _classes(docs, threshold, min_chars, short).select("id", "copies", "links", "head")
     return places.join(classes, "id").select(*_row(F.col("doc_id"), F.col("line_no")))
