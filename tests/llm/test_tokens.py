@@ -20,7 +20,7 @@ def plain(text):
 @given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x0c\x1c\x85\xa0'sStTé̸́ΣσςİKÅ<|>endoftext3½"),
                          st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_word_by_word_equals_whole_text(text):
-    assert np.frombuffer(tokens.Encoder.of(PATH, True).ids(text.encode()), "<u2").tolist() == plain(text)
+    assert np.frombuffer(tokens.Encoder.of(PATH, True).ids_of([text.encode()])[0], "<u2").tolist() == plain(text)
 
 
 def test_perfect_hash():
@@ -58,7 +58,7 @@ def test_empty_table(spark):
 
 def test_whole_text_mode():
     whole = tokens.Encoder.of(PATH, False)
-    assert np.frombuffer(whole.ids("Some té xt".encode()), whole.kind).tolist() == plain("Some té xt")
+    assert np.frombuffer(whole.ids_of(["Some té xt".encode()])[0], whole.kind).tolist() == plain("Some té xt")
 
 
 def test_strings_of_added_tokens():
@@ -71,5 +71,14 @@ def test_strings_of_added_tokens():
     texts = ["end <|endoftext|> start", *[f(n) for n in names for f in (str, str.upper, lambda n: f"End,{n}. É {n}{n} x", lambda n: f"a{n.title()}b {n}", lambda n: n[:-1])]]
     for by_blank in (True, False):
         for text in texts:
-            got = np.frombuffer(tokens.Encoder.of(PATH, by_blank).ids(text.encode()), "<u2").tolist()
+            got = np.frombuffer(tokens.Encoder.of(PATH, by_blank).ids_of([text.encode()])[0], "<u2").tolist()
             assert got == fresh.encode(text, add_special_tokens=False).ids, text
+
+
+def test_texts_together_are_texts_apart():
+    encoder = tokens.Encoder(PATH, True)
+    texts = ["Stone stone garden.", "", "garden, stone <|endoftext|> x", "über Stone 中文 garden", "stone " * 50, "a" * 200 + " b", "b"]
+    apart = [tokens.Encoder(PATH, True).ids_of([t.encode()])[0] for t in texts]
+    assert [i for run in tokens.together([t.encode() for t in texts], 30) for i in encoder.ids_of(run)] == apart
+    assert [np.frombuffer(a, "<u2").tolist() for a in apart] == [plain(t) for t in texts]
+    assert [len(r) for r in tokens.together([b"x" * n for n in (5, 5, 50, 5, 25, 1)], 30)] == [2, 1, 2, 1]

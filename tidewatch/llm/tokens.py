@@ -26,8 +26,10 @@ from tidewatch.session import scratch
 MAGIC = 0x54574944
 #: Bytes of text for one shard, on average.
 SHARD_BYTES = 48 << 20
-#: Encoded words that a task keeps, twice, some 25 MB each time; longer words are never kept. Both change speed only.
-CACHE_WORDS, CACHE_BYTES = 150_000, 48
+#: Encoded words that a task keeps, twice, some 65 MB each time; longer words are never kept. Both change speed only.
+CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Bytes of text whose new words are encoded in one call.
+TOGETHER = 1 << 19
 #: A full stop or comma that ends an ASCII word; a blank before it changes no id, since signs never join letters.
 WORD_END = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
 #: Bytes read at a time when a shard is read back.
@@ -56,7 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.added = [t.content.encode().lower() for t in self.tool.get_added_tokens_decoder().values()]
+        added = self.tool.get_added_tokens_decoder()
+        self.added = [t.content.encode().lower() for t in added.values()]
+        # one that takes nothing around it along
+        self.mark_id, self.mark = next(((k, t.content) for k, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), (0, None))
         self.kind = "<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4"
         self.by_blank = by_blank
         self.known: dict[bytes, bytes] = {}
@@ -76,30 +81,58 @@ class Encoder:
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: bytes) -> bytes:
-        low = text.lower()                          # of bytes, so ASCII letters only
-        if not self.by_blank or any(t in low for t in self.added):
-            return self.packed([text.decode()])[0]
-        # ASCII letters are lowered here, where that is sure to be what the tokenizer does; fewer words are new then
-        words = WORD_END.sub(rb" \1", low if text.isascii() else text).split()
-        if not text.isascii():
-            words = [w.lower() if w.isascii() else w for w in words]
+    def each(self, words: list[str]) -> list[bytes]:
+        """Ids of words without an added token, in one call: such a token between two words keeps them apart."""
+        if self.mark is None or len(words) == 1:
+            return self.packed(words)
+        ids = np.array(self.tool.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cuts, data, width = np.flatnonzero(ids == self.mark_id), ids.tobytes(), ids.itemsize
+        return [data[low * width:high * width] for low, high in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of every text; the words that are new in any of them are encoded together."""
+        plan: list[list[bytes] | bytes] = []
+        new: dict[bytes, None] = {}
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        new, rare = [], {}
-        for word in set(words):
-            if word not in self.known:
-                if word in self.older:
-                    self.known[word] = self.older[word]
-                else:
-                    new.append(word)
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            for word, ids in zip(part, self.packed([w.decode() for w in part])):
-                (self.known if len(word) <= CACHE_BYTES else rare)[word] = ids
+        known, older = self.known, self.older
+        for text in texts:
+            low = text.lower()                          # of bytes, so ASCII letters only
+            if not self.by_blank or any(t in low for t in self.added):
+                plan.append(self.packed([text.decode()])[0])
+                continue
+            # ASCII letters are lowered here, where that is sure to be what the tokenizer does; fewer words are new then
+            words = WORD_END.sub(rb" \1", low if text.isascii() else text).split()
+            if not text.isascii():
+                words = [w.lower() if w.isascii() else w for w in words]
+            plan.append(words)
+            for word in set(words):
+                if word not in known:
+                    if word in older:
+                        known[word] = older[word]
+                    else:
+                        new[word] = None
+        rare, fresh = {}, list(new)
+        for start in range(0, len(fresh), 4096):
+            part = fresh[start:start + 4096]
+            for word, ids in zip(part, self.each([w.decode() for w in part])):
+                (known if len(word) <= CACHE_BYTES else rare)[word] = ids
         if rare:
-            return b"".join([self.known[w] if w in self.known else rare[w] for w in words])
-        return b"".join(map(self.known.__getitem__, words))
+            return [p if isinstance(p, bytes) else b"".join([known[w] if w in known else rare[w] for w in p]) for p in plan]
+        return [p if isinstance(p, bytes) else b"".join(map(known.__getitem__, p)) for p in plan]
+
+
+def together(texts: list[bytes], size: int = TOGETHER) -> Iterator[list[bytes]]:
+    """Runs of texts of about `size` bytes; a longer text is a run of its own."""
+    run, held = [], 0
+    for text in texts:
+        if run and held + len(text) > size:
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += len(text)
+    if run:
+        yield run
 
 
 def _store(uri: str):
@@ -188,8 +221,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, by
 
         def payload(out) -> None:
             for batch in batches:
-                for doc, text in zip(values(batch, "doc_id"), raw(batch, "text")):
-                    ids = encoder.ids(text or b"")
+                found = (ids for run in together([t or b"" for t in raw(batch, "text")]) for ids in encoder.ids_of(run))
+                for doc, ids in zip(values(batch, "doc_id"), found):
                     out.write(ids)
                     out.write(close)
                     docs_.append(doc)
