@@ -18,7 +18,9 @@ from tidewatch.llm.text import values
 from tidewatch.llm.vectors import matrix, past_groups
 
 #: Parts of the lists that are read before the bounds are looked at.
-DEPTHS = (0.06, 0.12, 0.25, 0.37, 0.5, 0.62, 0.75, 0.87, 1.0)
+DEPTHS = (0.6, 0.85, 1.0)
+#: Candidates whose bounds are worked out at once.
+CHUNK = 1024
 
 
 def whole_components(vectors: DataFrame, column: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -35,39 +37,53 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows, self.read = ids, rows, 0
-        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
-        self.rank = np.empty(rows.shape, np.int32)
-        np.put_along_axis(self.rank, self.order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
-        self.sorted = np.take_along_axis(rows, self.order, axis=0)
+        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)        # a list for every component
+        self.sorted = np.take_along_axis(np.ascontiguousarray(rows.T), self.order, axis=1)
+        self.place = np.empty(self.order.shape, np.uint16 if len(rows) < 1 << 16 else np.int64)
+        np.put_along_axis(self.place, self.order, np.arange(len(rows)).astype(self.place.dtype)[None, :], axis=1)
+        self.most = int(np.abs(rows).max(initial=0))
+        # doubles are exact for whole numbers below 2^53, and faster
+        self.doubles = self.sorted.astype(np.float64)
+        self.room = [np.empty((rows.shape[1], CHUNK), kind) for kind in (np.int64, np.float64)]     # for all queries
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best candidates but `own`, ties to the smaller id."""
         count, dims, up = len(self.ids), len(query), query >= 0
         left = np.flatnonzero(self.ids != own)
-        if not len(left):
-            return self.ids[:0], np.zeros(0, np.int64)
-        known, done = np.zeros(count, np.int64), 0
-        seen = np.zeros((len(left), dims), bool)
-        worst = np.where(up, self.sorted[0], self.sorted[-1]) * query
+        if not len(left) or not dims:
+            best = left[np.argsort(self.ids[left], kind="stable")][:k]
+            return self.ids[best], np.zeros(len(best), np.int64)
+        exact = self.most * int(np.abs(query).sum()) < 1 << 53
+        lists = self.doubles if exact else self.sorted
+        query_ = query.astype(lists.dtype)
+        known, done, place = np.zeros(count, lists.dtype), 0, self.place[:, left]
+        worst = np.where(up, lists[:, 0], lists[:, -1]) * query_
         ends = [max(1, int(count * depth)) for depth in DEPTHS]
         for end, next_end in zip(ends, [*ends[1:], count]):
-            if end > done:
-                for lists, low, high in ((up, count - end, count - done), (~up, done, end)):
-                    np.add.at(known, self.order[low:high, lists], self.sorted[low:high, lists] * query[lists])
-                self.read += (end - done) * dims
-                done = end
-            edge = np.where(up, self.sorted[count - done], self.sorted[done - 1]) * query       # the value last read
-            place = self.rank[left]
-            seen = np.where(up, place >= count - done, place < done)
-            low = known[left] + np.where(seen, 0, worst).sum(axis=1)
-            high = known[left] + np.where(seen, 0, edge).sum(axis=1)
+            for d in range(dims if end > done else 0):
+                part = slice(count - end, count - done) if up[d] else slice(done, end)
+                known[self.order[d, part]] += lists[d, part] * query_[d]        # a list has every candidate once
+            self.read += (end - done) * dims
+            done = end
+            edge = np.where(up, lists[:, count - done], lists[:, done - 1]) * query_        # the value last read
+            # below the depth: not yet read in lists that are read from the top, read in the others
+            below = place < np.where(up, count - done, done).astype(self.place.dtype)[:, None]
+            ends_ = np.stack([worst, edge])
+            sums = np.empty((2, len(left)), lists.dtype)
+            for at in range(0, len(left), CHUNK):               # in pieces that stay in the processor's cache
+                piece = self.room[exact][:, :min(CHUNK, len(left) - at)]
+                np.copyto(piece, below[:, at:at + CHUNK])
+                np.matmul(np.where(up, ends_, -ends_), piece, out=sums[:, at:at + CHUNK])
+            low, high = known[left] + ends_[:, ~up].sum(axis=1)[:, None] + sums
             if len(left) > k:
-                stay = high >= np.partition(low, len(low) - k)[len(low) - k]
-                left, seen = left[stay], seen[stay]
+                stay = high >= np.partition(low, len(left) - k)[len(left) - k]
+                left = left[stay]
+                place = self.place[:, left]
             if len(left) * (count - done) <= (next_end - done) * count:
                 break
-        final = known[left] + (self.rows[left] * query * ~seen).sum(axis=1)
-        self.read += int((~seen).sum())
+        unread = ((self.place[:, left] < np.where(up, count - done, done).astype(self.place.dtype)[:, None]) == up[:, None]).T
+        final = known[left].astype(np.int64) + (self.rows[left] * unread) @ query
+        self.read += int(unread.sum())
         best = np.lexsort([self.ids[left], -final])[:k]
         return self.ids[left][best], final[best]
 
