@@ -82,3 +82,15 @@ def test_texts_together_are_texts_apart():
     assert [i for run in tokens.together([t.encode() for t in texts], 30) for i in encoder.ids_of(run)] == apart
     assert [np.frombuffer(a, "<u2").tolist() for a in apart] == [plain(t) for t in texts]
     assert [len(r) for r in tokens.together([b"x" * n for n in (5, 5, 50, 5, 25, 1)], 30)] == [2, 1, 2, 1]
+
+
+def test_kept_words_go_with_another_kind_of_task():
+    from tidewatch.llm import text
+
+    encoder = tokens.Encoder.of(PATH, True)
+    encoder.ids_of([b"stone garden"])
+    assert encoder.known and text.KEPT[tokens.ENCODER]
+    text.drop_kept(tokens.ENCODER)
+    assert encoder.known
+    text.drop_kept(None)
+    assert not encoder.known and not encoder.older

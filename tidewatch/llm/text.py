@@ -145,14 +145,19 @@ def values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow for functions that yield dicts of columns."""
+#: What a worker process keeps from task to task, by name, with how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow for functions that yield dicts of columns. A worker that is reused drops all it has kept but `keeps`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
         try:
             for columns in run(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kind], schema=kind)
@@ -162,6 +167,11 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(call, schema)
 
 
+def drop_kept(keeps: str | None) -> None:
+    for name in [n for n in KEPT if n != keeps]:
+        KEPT.pop(name)()
+
+
 def release() -> None:
     """Give memory that a task no longer needs back to the system; its worker process lives on."""
     pa.default_memory_pool().release_unused()

@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import mph
-from tidewatch.llm.text import map_batches, raw, values
+from tidewatch.llm.text import KEPT, map_batches, raw, values
 from tidewatch.session import scratch
 
 MAGIC = 0x54574944
 #: Bytes of text for one shard, on average.
 SHARD_BYTES = 48 << 20
-#: Encoded words that a task keeps, twice, some 65 MB each time; longer words are never kept. Both change speed only.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Encoded words that a worker keeps, twice, some 80 MB each time; longer words are never kept. Both change speed only.
+#: They stay while its tasks write tokens, and go with the first task of another kind.
+CACHE_WORDS, CACHE_BYTES, ENCODER = 500_000, 48, "encoder"
 #: Bytes of text whose new words are encoded in one call.
 TOGETHER = 1 << 19
 #: A full stop or comma that ends an ASCII word; a blank before it changes no id, since signs never join letters.
@@ -72,11 +73,14 @@ class Encoder:
         key = (path, by_blank)
         if key not in cls.made:
             cls.made[key] = cls(path, by_blank)
+        KEPT[ENCODER] = cls.forget
         return cls.made[key]
 
-    def forget(self) -> None:
-        """Drop the kept words; the tokenizer itself stays with the worker."""
-        self.known, self.older = {}, {}
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the kept words; the tokenizers themselves stay with the worker."""
+        for own in cls.made.values():
+            own.known, own.older = {}, {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -228,10 +232,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, by
                     docs_.append(doc)
                     lengths.append(len(ids) // width + 1)
 
-        try:
-            _put(folder, f"shard-{shard:06d}.ids", payload)
-        finally:
-            encoder.forget()
+        _put(folder, f"shard-{shard:06d}.ids", payload)
         if not docs_:
             return
         named = np.array([d is not None for d in docs_], "u1")
@@ -250,7 +251,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, by
                "first_key": [int(key[0]) if len(key) else None], "last_key": [int(key[-1]) if len(key) else None], "id_bytes": [width]}
 
     path = f"{folder}/manifest"
-    map_batches(dealt, write, MANIFEST).write.parquet(path)
+    map_batches(dealt, write, MANIFEST, keeps=ENCODER).write.parquet(path)
     return docs.sparkSession.read.schema(MANIFEST).parquet(path)
 
 
