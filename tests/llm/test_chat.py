@@ -12,7 +12,7 @@ def sha(text):
 def brute(rows):
     out = []
     for conv in {r[0] for r in rows}:
-        own = sorted([r for r in rows if r[0] == conv], key=lambda r: (r[1] is not None, r[1] or 0))
+        own = sorted([r for r in rows if r[0] == conv], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         loss = "".join(t or "" for _, _, role, t in own if role == "assistant")
         out.append((conv, len(own), sha("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)), len(loss), sha(loss)))
     return sorted(out, key=str)
@@ -21,6 +21,7 @@ def brute(rows):
 def test_round_trip(spark):
     rows = [(c, k, ["user", "assistant", "system", None, "a:b\\: #"][(k + c) % 5], HARD[(k * 7 + c) % len(HARD)]) for c in range(12) for k in range(c)]
     rows += [(50, 3000 - k, "assistant" if k % 2 else "user", f"t{k}") for k in range(2500)] + [(None, 0, "user", "x"), (60, None, "user", "n"), (60, 0, "assistant", "m")]
+    rows += [(70, 0, role, text) for role in ("user b", "user", "user:", None) for text in ("$", "#", ":", "<", None)]       # ties by role, then text
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS piece", "2 AS start").repartition(5)
     turns = chat.formatted_turns(df)
     got = chat.digest(turns, chat.examples(turns))

@@ -1,5 +1,6 @@
 import random
 
+from tidewatch.llm import jaccard
 from tidewatch.llm.jaccard import jaccard_components
 
 
@@ -53,6 +54,20 @@ def test_matches_all_pairs(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_frequent_shingles_go_by_way_of_components(spark, monkeypatch):
+    """With hardly a shingle paired directly, stars and pairs across components find the same classes."""
+    monkeypatch.setattr(jaccard, "PAIRED", 2)
+    rng = random.Random(15)
+    texts = [t for size, words, edits in ((30, 60, 5), (25, 12, 1), (12, 150, 12), (9, 6, 1)) for t in family(rng, size, words, edits)]
+    passage = [f"p{k}" for k in range(40)]
+    for _ in range(40):                 # a passage that many texts share, beside own words: near copies in several groups
+        own = [f"q{rng.randrange(60)}" for _ in range(rng.choice([3, 6, 20]))]
+        texts.append(" ".join(rng.choice([passage + own, own + passage, passage[:35] + own])))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (5, "ONE"), (None, "one"), (None, None), (9, "two three"), (None, "alone here")]
     assert run(spark, rows, extra=True) == brute(rows)

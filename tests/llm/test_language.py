@@ -56,3 +56,72 @@ def test_held_out_accuracy(spark, folder):
     got = op6_language_mixture(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = got.where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def plain_trigrams(text):
+    signs, out = " ", []
+    for c in text + " ":
+        c = c.lower()[0] if c.isalpha() else " "
+        if not (c == " " and signs[-1] == " "):
+            signs += c
+    return [signs[i:i + 3] for i in range(len(signs) - 2)]
+
+
+def plain_inference(text, counts):
+    """The language set by penalised likelihood, grown greedily, with shares by expectation-maximisation, all in plain loops."""
+    from math import exp, log
+
+    names = sorted(counts)
+    chance = {x: lambda t, c=counts[x], n=sum(counts[x].values()): log((c.get(t, 0) + language.SMOOTH) / (n + language.SMOOTH * language.SLOTS)) for x in names}
+    grams = plain_trigrams(text)
+    parts = [grams[i:i + language.WINDOW] for i in range(0, len(grams), language.WINDOW)]
+    like = [{x: sum(chance[x](t) for t in part) for x in names} for part in parts]
+
+    def em(chosen):
+        share = {x: 1 / len(chosen) for x in chosen}
+        for _ in range(language.ROUNDS):
+            new = dict.fromkeys(chosen, 0.0)
+            for w in like:
+                top = max(w[x] for x in chosen)
+                total = sum(share[x] * exp(w[x] - top) for x in chosen)
+                for x in chosen:
+                    new[x] += share[x] * exp(w[x] - top) / total / len(like)
+            moved, share = max(abs(new[x] - share[x]) for x in chosen), new
+            if moved < 1e-6:
+                break
+        reached = sum(log(sum(share[x] * exp(w[x] - max(w[y] for y in chosen)) for x in chosen)) + max(w[y] for y in chosen) for w in like)
+        return share, reached
+
+    chosen = [max(names, key=lambda x: (sum(w[x] for w in like), -names.index(x)))]
+    share, reached = {chosen[0]: 1.0}, sum(w[chosen[0]] for w in like)
+    while len(chosen) < len(names):
+        tries = [(em([*chosen, x]), x) for x in names if x not in chosen]
+        (new, value), x = max(tries, key=lambda t: (t[0][1], -names.index(t[1])))
+        if value - reached <= language.PRICE * log(max(2, len(like))):
+            break
+        chosen, share, reached = [*chosen, x], new, value
+    return share
+
+
+def test_against_plain_inference(spark):
+    """Counts, windows, shares and language sets are those of plain loops over strings."""
+    import random
+
+    rng = random.Random(4)
+    words = {"xx": "abra cada bra dabra".split(), "yy": "mona lona pono mola".split(), "zz": "zikzi kizik kiki zizki abra".split()}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    train = [(k, say(x, 30), x) for k, x in enumerate(list(words) * 6)]
+    counts = {}
+    for _, text, x in train:
+        for t in plain_trigrams(text):
+            counts.setdefault(x, {}).setdefault(t, 0)
+            counts[x][t] += 1
+    model = language.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    texts = [say("xx", 40), say("yy", 60) + ". " + say("zz", 50), " ".join(say(x, 45) for x in words), "abra", say("zz", 3) + say("xx", 200),
+             "Mona-Lona 12 pono!", say("yy", 5) + " qq ww"]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        want = plain_inference(text, counts)
+        named = dict(part.split(":") for part in got[k].languages.split(","))
+        assert set(named) == set(want) and all(abs(float(named[x]) - want[x]) < 2e-3 for x in want), (text, named, want)
+        assert want[got[k].lang_pred] > max(want.values()) - 1e-3

@@ -1,4 +1,9 @@
+import os
 import random
+import subprocess
+import sys
+
+import pytest
 
 import corpus_pipeline
 from tests.llm.test_jaccard import brute as components
@@ -41,3 +46,39 @@ def test_empty_table(spark, tmp_path):
     df.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_and_empty_parts(spark, tmp_path):
+    """Columns named like those that the stages make stay as they are."""
+    rows, item, df = documents(spark)
+    clash = df.selectExpr("*", "doc_id AS _leak", "'a' AS row", "1 AS slot", "2 AS block", "'k' AS _kept", "3 AS _rows", "4 AS place")
+    clash.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        assert docs.columns == clash.columns
+    assert docs.where("NOT doc_id <=> _leak").count() == 0 and 0 < docs.count() < len(rows)
+
+
+WORKERS = """
+import sys
+import psutil
+from tidewatch.session import build_session
+import corpus_pipeline
+spark = build_session("workers", cores=2)
+corpus_pipeline.run(spark, sys.argv[1]).collect()
+jvm = [p for p in psutil.Process().children(recursive=True) if "java" in p.name()]
+print("daemons", sum("pyspark.daemon" in " ".join(c.cmdline()) for p in jvm for c in p.children()))
+"""
+
+
+def test_one_pool_of_python_workers(spark, tmp_path):
+    """No stage makes Python rows on the driver, which would start a second pool of workers beside that of the Arrow tasks."""
+    pytest.importorskip("psutil")
+    _, item, df = documents(spark)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    done = subprocess.run([sys.executable, "-c", WORKERS, str(tmp_path)], capture_output=True, text=True, timeout=600, cwd=os.path.dirname(corpus_pipeline.__file__))
+    assert "daemons 1" in done.stdout, done.stderr[-2000:]

@@ -40,8 +40,8 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
-        escaped(F.col("role")).alias("r"), escaped(F.col("text")).alias("t"))
-    rows = rows.select("conv_id", "turn", (F.col("role") == TRAINED).alias("trained"), F.floor(F.col("turn") / STEP).alias("step"),
+        F.coalesce("text", F.lit("")).alias("text"), escaped(F.col("role")).alias("r"), escaped(F.col("text")).alias("t"))
+    rows = rows.select("conv_id", "turn", "role", "text", (F.col("role") == TRAINED).alias("trained"), F.floor(F.col("turn") / STEP).alias("step"),
                        F.length("r").alias("r"), F.concat(F.lit(HEAD), "r", F.lit(MIDDLE), "t", F.lit(TAIL)).alias("piece"))
     rows = rows.withColumn("chars", F.length("piece"))
     before = Window.partitionBy("conv_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,7 +49,7 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").alias("_c"), F.col("step").alias("_s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     rows = rows.join(steps, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("step").eqNullSafe(F.col("_s")))
-    own = Window.partitionBy("conv_id", "step").orderBy("turn", "piece")
+    own = Window.partitionBy("conv_id", "step").orderBy("turn", "role", "text")
     rows = rows.withColumn("start", F.col("c0") + F.sum("chars").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars"))
     rows = rows.withColumn("place", F.col("n0") + F.row_number().over(own) - 1)
     reply = F.col("start") + len(HEAD) + F.col("r") + len(MIDDLE)
