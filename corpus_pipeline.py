@@ -41,8 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no copy of a test item, verbatim or edited."""
     leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    own = "_leak_" + "_".join(docs.columns)         # no column of docs
+    leaks = leaks.select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
