@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from tidewatch.config import MODEL_FEATURES
+
 REQUEST = T.StructType([
     T.StructField("transaction_id", T.StringType()),
     T.StructField("timestamp", T.TimestampType()),
@@ -63,3 +65,13 @@ ENTRY = T.StructType([
 CUSTOMER = "customer_id string, customer_portfolio_country string, account_open_date date, risk_segment string"
 PAYEE = "receiver_account string, country string, is_mule_pattern boolean"
 TPP = "tpp_name_ud string, typical_country string"
+
+# Rows of simulated or replayed training data: the model's features, ids, outcome, kind of behaviour and round.
+SIMULATED = T.StructType([
+    *[T.StructField(f, T.DoubleType()) for f in MODEL_FEATURES],
+    *[T.StructField(n, T.StringType()) for n in ("transaction_id", "customer_id", "receiver_account", "device_fingerprint", "tpp_name_ud")],
+    T.StructField("timestamp_epoch_ms", T.LongType()),
+    T.StructField("label", T.ByteType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("round", T.IntegerType()),
+])

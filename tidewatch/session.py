@@ -17,7 +17,6 @@ def build_session(app: str = "tidewatch", cores: int | None = None, **conf: str)
                    .config("spark.driver.memory", os.environ.get("TIDEWATCH_MEMORY", "16g"))
                    .config("spark.ui.enabled", "false")
                    .config("spark.sql.shuffle.partitions", str(cores))
-                   # Long generated methods are common in wide window chains; let the JVM compile them.
                    .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
                    # Small local inputs should still use every core.
                    .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
@@ -27,6 +26,11 @@ def build_session(app: str = "tidewatch", cores: int | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Long generated methods are common in wide window chains; let the JVM compile them.
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        # Stream state on disk, with checkpoints of what changed: joins may hold months of decisions.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         # Recording a call site per expression takes longer than building these plans.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }

@@ -107,3 +107,8 @@ def audit_table(spark: SparkSession, path: str) -> DataFrame:
 
 def label_table(spark: SparkSession, path: str) -> DataFrame:
     return read_parquet(spark, path, schemas.LABEL)
+
+
+def simulated(spark: SparkSession, path: str) -> DataFrame:
+    """Simulated rounds with the features, ids, kind and round of each row."""
+    return read_parquet(spark, path, schemas.SIMULATED).select(*schemas.SIMULATED.fieldNames())
