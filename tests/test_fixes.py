@@ -79,7 +79,7 @@ def test_repeated_batch_and_waiting_entries(spark):
 def test_rows_without_an_entity_have_no_history(spark):
     """Null customers, payees and devices see nothing of one another, in buckets, pairs and running sums alike."""
     rows = [(f"t{k}", 1_704_067_200_000 + k * 1000, c, p, d) for k, (c, p, d) in enumerate(
-        [(None, "p", "d"), (None, "p", "d"), ("c", None, None), ("c", None, None), (None, None, None), ("c", "p", "d"), (None, "p", "d")])]
+        [(None, "p", "d")] * 6 + [(None, "p", "d"), (None, "p", "d"), ("c", None, None), ("c", None, None), (None, None, None), ("c", "p", "d"), (None, "p", "d")])]
     txns = spark.createDataFrame(rows, "transaction_id string, ms long, customer_id string, receiver_account string, device_fingerprint string")
     txns = txns.withColumns({"ts": F.timestamp_millis("ms"), "amount_base": F.lit(5.0), "declined": F.lit(1), "event_kind": F.lit("payment"),
                              "tpp_name_ud": F.lit("x"), "customer_portfolio_country": F.lit("GB")})
@@ -90,6 +90,7 @@ def test_rows_without_an_entity_have_no_history(spark):
         r = got[key]
         assert r.customer_txn_count_1h == sum(b[2] == c for b in before if c)
         assert r.customer_declines_24h == sum(b[2] == c for b in before if c)
+        assert c or r.interarrival_cv == 999.0
         assert r.pair_txn_count_90d == sum(b[2:4] == (c, p) for b in before if c and p)
         assert r.bene_distinct_senders_24h == len({b[2] for b in before if p and b[3] == p and b[2]})
         assert r.device_distinct_customers == len({b[2] for b in before if d and b[4] == d and b[2]})

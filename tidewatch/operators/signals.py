@@ -104,11 +104,12 @@ def with_cadence(txns: DataFrame, positions: dict[str, tuple[int, int | None]] |
     positions = positions or {}
     memory = max([guards.event_memory, *[p + 1 for p, _ in positions.values()]])
     ms = F.col("ms")
-    out = {"interarrival_cv": F.when((F.col("_events") >= guards.gap_events) & (F.col("_mean") > 0),
+    known = F.col("customer_id").isNotNull()            # rows without a customer are no one's arrivals
+    out = {"interarrival_cv": F.when(known & (F.col("_events") >= guards.gap_events) & (F.col("_mean") > 0),
                                      quotient(F.col("_spread"), F.col("_mean")))
            .otherwise(SAFE_DEFAULTS["interarrival_cv"])}
     for name, (_, age) in positions.items():
-        at = F.col(f"_at_{name}")
+        at = F.when(known, F.col(f"_at_{name}"))
         out[name] = F.timestamp_millis(at if age is None else F.when(at >= ms - age * 1000, at))
 
     def gaps(df: DataFrame, by: list[str]) -> DataFrame:
