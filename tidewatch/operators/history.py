@@ -112,7 +112,7 @@ def bucket_sum(keys: Sequence[str], measure: str, unit: str, low: int, high: int
 
 def membership_changes(source: DataFrame, entity: Sequence[str], specs: Sequence[Distinct],
                        stored: "Stored | None" = None) -> DataFrame:
-    """When members enter (`_a_`) and leave (`_z_`) each distinct window, per (entity, five minutes).
+    """When members enter (`_a_`) and leave (`_z_`) each distinct window: single steps of (entity, five minutes).
 
     A member covers its entity from a sighting until `lookback` units after that sighting's unit.
     Overlapping covers are merged by pairing every sighting with the one before it, so the number of
@@ -152,28 +152,20 @@ def membership_changes(source: DataFrame, entity: Sequence[str], specs: Sequence
         *[F.lit(a if s.name == name else 0).cast("long").alias(f"_a_{s.name}") for s in specs],
         *[F.lit(z if s.name == name else 0).cast("long").alias(f"_z_{s.name}") for s in specs]))
         for cond, tick, name, a, z in steps]
-    return (seen.select(*entity, F.inline(F.array_compact(F.array(*made))))
-            .groupBy(*entity, TICK)
-            .agg(*[F.sum(c).alias(c) for s in specs for c in (f"_a_{s.name}", f"_z_{s.name}")]))
+    return seen.select(*entity, F.inline(F.array_compact(F.array(*made))))
 
 
 def bucket_table(source: DataFrame, keys: Sequence[str], measures: Sequence[Measure],
                  distincts: Sequence[Distinct] = (), stored: "Stored | None" = None) -> DataFrame:
     """One row per (entity, five-minute bucket) with its measures and membership changes."""
-    # Values are projected first: partial aggregation then reads plain columns.
-    table = (source.withColumn(TICK, times.index(F.col("ms"), "tick"))
-             .select(*keys, TICK, *[m.value.alias(m.name) for m in measures])
-             .groupBy(*keys, TICK).agg(*[COMBINE[m.fn](m.name).alias(m.name) for m in measures]))
-    members = sorted({d.member for d in distincts})
-    for member in members:
+    # Values are projected first: partial aggregation then reads plain columns. Rows and steps are summed up in one shuffle.
+    table = source.select(*keys, times.index(F.col("ms"), "tick").alias(TICK), *[m.value.alias(m.name) for m in measures])
+    for member in sorted({d.member for d in distincts}):
         changes = membership_changes(source, keys, [d for d in distincts if d.member == member], stored)
         table = table.unionByName(changes, allowMissingColumns=True)
-    if members:
-        steps = [c for d in distincts for c in (f"_a_{d.name}", f"_z_{d.name}")]
-        table = table.groupBy(*keys, TICK).agg(
-            *[COMBINE[m.fn](m.name).alias(m.name) for m in measures],
-            *[F.sum(c).alias(c) for c in steps])
-    return table
+    steps = [c for d in distincts for c in (f"_a_{d.name}", f"_z_{d.name}")]
+    return table.groupBy(*keys, TICK).agg(*[COMBINE[m.fn](m.name).alias(m.name) for m in measures],
+                                          *[F.sum(c).alias(c) for c in steps])
 
 
 def with_stored(table: DataFrame, keys: Sequence[str], measures: Sequence[Measure], distincts: Sequence[Distinct],
@@ -229,6 +221,8 @@ def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Se
     bucket_columns = [c for c in (*early, *late) if c not in hidden]
     before = [] if stored is None else [f"_k_{m.name}" for m in measures] + [f"_k_in_{d.name}" for d in distincts]
     bucket_columns += before
+    if distincts and any(m.name == "n" for m in measures):
+        table = table.filter(F.col("n").isNotNull())        # buckets in which members only leave are no row's
     table = table.select(*keys, TICK, *bucket_columns)
 
     # rows without a key are no entity: they see no bucket and none of one another
