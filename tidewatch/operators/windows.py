@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewatch.config import Config, RuleDef
 from tidewatch.operators.history import ARRIVAL, Measure, amount_now, attach, bucket_sum, Feature, zero
@@ -142,13 +143,18 @@ def replay_decisions(rows: DataFrame, config: Config = Config(), heavy: HeavyKey
         seen = attach(active, active, CUSTOMER, [Measure("d", "sum", F.col("declined"))], counts, (), heavy)
         decided = seen.withColumn("final_score", score).withColumn("decision", decision)
         now = decided.withColumnRenamed("declined", "_was").withColumn("declined", (F.col("decision") == "decline").cast("int"))
-        now = pinned(now.select(*out, "_was"))
+        now = now.select(*out, "_was")
+        now.write.parquet(f"{path}-rounds/{number}")            # columns are smaller than the rows of a checkpoint
+        now = spark.read.schema(now.schema).parquet(f"{path}-rounds/{number}")
         moved = now.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
             F.max((F.col("declined") != F.col("_was")).cast("int")).alias("_moved")).filter(F.col("_moved") == 1).select("customer_id")
         moved = pinned(moved)
-        now.join(moved, "customer_id", "left_anti").select(*out).write.mode("overwrite").parquet(f"{path}/round={number}")
+        # one pass parts the rows that are settled from those that go on
+        parted = now.join(moved.withColumn("_moved", F.lit(1)), "customer_id", "left").withColumn("_moved", F.coalesce("_moved", F.lit(0)))
+        parted.select(*out, "_moved").write.partitionBy("_moved").mode("overwrite").parquet(f"{path}/round={number}")
+        schema = now.select(*out).schema
         if moved.isEmpty():
-            schema = now.select(*out).schema
-            done = spark.read.schema(schema).parquet(path).select(*out)
+            parts = StructType([*schema.fields, StructField("_moved", IntegerType())])
+            done = spark.read.schema(parts).parquet(path).filter(F.col("_moved") == 0).select(*out)
             return done if "declined" in rows.columns else done.drop("declined")
-        active, number = now.join(moved, "customer_id", "left_semi").select(*keep, "declined"), number + 1
+        active, number = spark.read.schema(schema).parquet(f"{path}/round={number}/_moved=1").select(*keep, "declined"), number + 1

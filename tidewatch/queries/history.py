@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.config import Config, MetricDef, WindowDef
 from tidewatch.operators import signals
-from tidewatch.operators.history import attach
+from tidewatch.operators.history import ARRIVAL, attach
 from tidewatch.operators.metrics import key_sets, with_metrics
-from tidewatch.operators.signals import Guards, heavy_keys
+from tidewatch.operators.signals import CUSTOMER, Guards, heavy_keys
 from tidewatch.operators.windows import (replay_decisions, with_idle_count, with_idle_members,
                                          with_recent_count, with_recent_members)
 from tidewatch.queries.common import order_sql, prior, txn_sql
@@ -388,7 +388,7 @@ FROM i t JOIN lastd l ON l.transaction_id = t.transaction_id""")
 
 def closed_loop(spark, folder):
     txns = event_transactions(spark, folder)
-    rows = txns.select(*txns.columns, (F.pmod(F.round(F.col("amount") * 7), F.lit(100)) / 100).alias("base_score"),
+    rows = txns.select(*CUSTOMER, *ARRIVAL, (F.pmod(F.round(F.col("amount") * 7), F.lit(100)) / 100).alias("base_score"),
                        F.lit(False).alias("hard_block"), F.lit(False).alias("hard_allow"))
     out = replay_decisions(rows, heavy=heavy_keys(txns))
     return rounded(out, "customer_declines_24h", "customer_declines_90d", "final_score").join(
