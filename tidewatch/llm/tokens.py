@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import mph
-from tidewatch.llm.text import KEPT, map_batches, raw, values
+from tidewatch.llm.text import KEPT, map_batches, raw, slices, values
 from tidewatch.session import scratch
 
 MAGIC = 0x54574944
@@ -224,7 +224,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, by
         docs_, lengths = [], []
 
         def payload(out) -> None:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 found = (ids for run in together([t or b"" for t in raw(batch, "text")]) for ids in encoder.ids_of(run))
                 for doc, ids in zip(values(batch, "doc_id"), found):
                     out.write(ids)
