@@ -94,3 +94,24 @@ def test_kept_words_go_with_another_kind_of_task():
     assert encoder.known
     text.drop_kept(None)
     assert not encoder.known and not encoder.older
+
+
+def test_plain_words_go_to_the_model_itself():
+    """op1: new words of a-z went through normalizer and pre-tokenizer, which took most of the time; ids stay the same."""
+    encoder = tokens.Encoder(PATH, True)
+    seen, each = [], encoder.each
+    encoder.each = lambda words: seen.extend(words) or each(words)
+    texts = ["Plain words, and l'eau.", "café. déjà, ». …. 1. x.. H̱ello T̈. İx İ. ×. ÷, ÿ.", "z" * 300]
+    got = encoder.ids_of([t.encode() for t in texts])
+    assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == [plain(t) for t in texts]
+    assert not [w for w in seen if w.isascii() and w.isalpha()]
+    assert "café" in seen and "café." not in seen
+
+
+def test_a_tokenizer_that_cuts_letters_is_asked_as_a_whole():
+    from tokenizers import Regex, pre_tokenizers
+
+    encoder = tokens.Encoder(PATH, True)
+    assert encoder.model is not None
+    encoder.tool.pre_tokenizer = pre_tokenizers.Split(Regex("zq"), "isolated")
+    assert not encoder._whole()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,9 @@ SHARD_BYTES = 48 << 20
 CACHE_WORDS, CACHE_BYTES, ENCODER = 500_000, 48, "encoder"
 #: Bytes of text whose new words are encoded in one call.
 TOGETHER = 1 << 19
-#: A full stop or comma that ends an ASCII word; a blank before it changes no id, since signs never join letters.
-WORD_END = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
+#: A full stop or comma after an ASCII letter or digit, or a letter of U+00C0 to U+00FF, that ends a word; a blank before it
+#: changes no id, since signs never join letters.
+WORD_END = re.compile(rb"([.,])(?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \n])")
 #: Bytes read at a time when a shard is read back.
 READ_BYTES = 8 << 20
 MANIFEST = "shard int, path string, docs long, tokens long, first_key long, last_key long, id_bytes int"
@@ -44,6 +46,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def lowered(text: bytes, low: bytes) -> list[bytes]:
+    """The words of a text that is not all ASCII, with ASCII letters lowered where that is sure to be what the tokenizer does.
+
+    A letter may join the mark that follows it before it is lowered or after, with another outcome. Where neither form of
+    the whole text has anything to join, its words are those of `low`; else words of ASCII alone are lowered.
+    """
+    if unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode()):
+        return WORD_END.sub(rb" \1", low).split()
+    return [w.lower() if w.isascii() else w for w in WORD_END.sub(rb" \1", text).split()]
+
+
 class Encoder:
     """Ids of whole texts, word by word where that gives the same ids.
 
@@ -65,9 +78,19 @@ class Encoder:
         self.mark_id, self.mark = next(((k, t.content) for k, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), (0, None))
         self.kind = "<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4"
         self.by_blank = by_blank
+        self.width = np.dtype(self.kind).itemsize
+        self.model = self.tool.model if by_blank and self._whole() else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _whole(self) -> bool:
+        """Whether a run of the letters a-z comes to the model as it is, in one piece, whatever letters meet in it."""
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        word = "".join(a + b for a in letters for b in letters)
+        if self.tool.normalizer is not None and self.tool.normalizer.normalize_str(word) != word:
+            return False
+        return self.tool.pre_tokenizer is not None and [p for p, _ in self.tool.pre_tokenizer.pre_tokenize_str(word)] == [word]
+
     @classmethod
     def of(cls, path: str, by_blank: bool) -> "Encoder":
         key = (path, by_blank)
@@ -105,18 +128,20 @@ class Encoder:
             if not self.by_blank or any(t in low for t in self.added):
                 plan.append(self.packed([text.decode()])[0])
                 continue
-            # ASCII letters are lowered here, where that is sure to be what the tokenizer does; fewer words are new then
-            words = WORD_END.sub(rb" \1", low if text.isascii() else text).split()
-            if not text.isascii():
-                words = [w.lower() if w.isascii() else w for w in words]
+            # fewer words are new once letters are lowered
+            words = WORD_END.sub(rb" \1", low).split() if text.isascii() else lowered(text, low)
             plan.append(words)
-            for word in set(words):
-                if word not in known:
-                    if word in older:
-                        known[word] = older[word]
-                    else:
-                        new[word] = None
+            for word in set(words).difference(known):
+                if word in older:
+                    known[word] = older[word]
+                else:
+                    new[word] = None
         rare, fresh = {}, list(new)
+        if self.model is not None:          # words that normalizing and cutting would leave alone go to the model itself
+            tokenize, width = self.model.tokenize, self.width
+            for word in [w for w in fresh if w.isalpha() and w.islower()]:         # of bytes, so a-z only
+                (known if len(word) <= CACHE_BYTES else rare)[word] = b"".join([t.id.to_bytes(width, "little") for t in tokenize(word.decode())])
+            fresh = [w for w in fresh if w not in known and w not in rare]
         for start in range(0, len(fresh), 4096):
             part = fresh[start:start + 4096]
             for word, ids in zip(part, self.each([w.decode() for w in part])):
