@@ -115,3 +115,8 @@ def test_a_tokenizer_that_cuts_letters_is_asked_as_a_whole():
     assert encoder.model is not None
     encoder.tool.pre_tokenizer = pre_tokenizers.Split(Regex("zq"), "isolated")
     assert not encoder._whole()
+
+
+def test_kept_words_are_few():
+    """pipeline: kept words took a worker's memory past its share."""
+    assert tokens.CACHE_WORDS <= 250_000

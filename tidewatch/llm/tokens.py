@@ -27,9 +27,9 @@ from tidewatch.session import scratch
 MAGIC = 0x54574944
 #: Bytes of text for one shard, on average.
 SHARD_BYTES = 48 << 20
-#: Encoded words that a worker keeps, twice, some 80 MB each time; longer words are never kept. Both change speed only.
+#: Encoded words that a worker keeps, twice, some 40 MB each time; longer words are never kept. Both change speed only.
 #: They stay while its tasks write tokens, and go with the first task of another kind.
-CACHE_WORDS, CACHE_BYTES, ENCODER = 500_000, 48, "encoder"
+CACHE_WORDS, CACHE_BYTES, ENCODER = 250_000, 48, "encoder"
 #: Bytes of text whose new words are encoded in one call.
 TOGETHER = 1 << 19
 #: A full stop or comma after an ASCII letter or digit, or a letter of U+00C0 to U+00FF, that ends a word; a blank before it
