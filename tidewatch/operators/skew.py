@@ -17,6 +17,8 @@ from tidewatch.session import pinned
 
 LANE = "_lane"
 BORROWED = "_borrowed"
+# Rows of a lane, on average; with more rows there are more lanes than the policy or the session names.
+LANE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -34,14 +36,20 @@ def lane_count(df: DataFrame, policy: SkewPolicy) -> int:
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Hashes of the heavy keys of several key sets. A hash clash only moves a light key to the lanes."""
+    """Hashes of the heavy keys of several key sets, and about how many rows they have together. A hash clash only moves
+    a light key to the lanes."""
 
     policy: SkewPolicy = field(default_factory=SkewPolicy)
     hashes: Mapping[tuple[str, ...], tuple[int, ...]] = field(default_factory=dict)
+    rows: Mapping[tuple[str, ...], int] = field(default_factory=dict)
 
     def of(self, keys: Sequence[str]) -> tuple[int, ...]:
         return self.hashes.get(tuple(sorted(keys)), ())
 
+    def lanes(self, df: DataFrame, keys: Sequence[str]) -> int:
+        """The lanes of the policy, or more where each would have more than LANE_ROWS rows."""
+        return max(lane_count(df, self.policy), -(-self.rows.get(tuple(sorted(keys)), 0) // LANE_ROWS))
+
 
 def key_hash(keys: Sequence[str]) -> Column:
     """The same for every order of the key columns."""
@@ -64,9 +72,11 @@ def find_heavy(df: DataFrame, *key_sets: Sequence[str], policy: SkewPolicy | Non
     found = (tagged.groupBy("k.set", "k.hash").agg(F.count("*").alias("n"))
              .filter(F.col("n") >= least)
              .withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= most)
-             .select("set", "hash").collect())
+             .select("set", "hash", "n").collect())
     return HeavyKeys(policy, {
         tuple(sorted(keys)): tuple(r["hash"] for r in found if r["set"] == i)
+        for i, keys in enumerate(key_sets)}, {
+        tuple(sorted(keys)): int(sum(r["n"] for r in found if r["set"] == i) / min(1.0, policy.sample))
         for i, keys in enumerate(key_sets)})
 
 
@@ -109,7 +119,7 @@ def into_lanes(df: DataFrame, keys: Sequence[str], order: Sequence[str], heavy:
         return Lanes(df)
     is_heavy = key_hash(keys).isin(*hashes)
     return Lanes(df.filter(~is_heavy),
-                 ranged(df.filter(is_heavy), [*keys, *order], lane_count(df, heavy.policy)))
+                 ranged(df.filter(is_heavy), [*keys, *order], heavy.lanes(df, keys)))
 
 
 def all_lanes(df: DataFrame, order: Sequence[str], policy: SkewPolicy | None = None) -> Lanes:
