@@ -16,7 +16,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidewatch.functions import times
-from tidewatch.operators.skew import HeavyKeys, into_lanes, running
+from tidewatch.operators.skew import HeavyKeys, Lanes, into_lanes, running
 
 TICK = "_tick"
 COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -203,14 +203,27 @@ def distinct_feature(d: Distinct, keys: Sequence[str]) -> Feature:
 
 def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Sequence[Measure],
            features: Sequence[Feature], distincts: Sequence[Distinct] = (),
-           heavy: HeavyKeys = HeavyKeys(), stored: "Stored | None" = None) -> DataFrame:
+           heavy: HeavyKeys = HeavyKeys(), stored: "Stored | None" = None, local: bool = False) -> DataFrame:
     """Adds `features` of the entity `keys` to `rows`. `source` is the full history the rows are part of, or, with
-    `stored`, what came since then; a stored bucket counts as earlier, as a whole."""
-    table = bucket_table(source, keys, measures, distincts, stored)
+    `stored`, what came since then; a stored bucket counts as earlier, as a whole. `local` says that `rows` are placed
+    by `keys`: the table is then made and joined where they are, without a shuffle of its own."""
+    lanes = into_lanes(rows.withColumn(TICK, times.index(F.col("ms"), "tick")), keys, ARRIVAL, heavy)
+    more = (keys, measures, features, distincts, stored)
+    if lanes.wide is None:
+        return _attached(lanes, source, *more, local)
+    light, wide = heavy.split(source, keys)
+    return (_attached(Lanes(lanes.light.repartition(*keys)), light, *more, True)
+            .unionByName(_attached(Lanes(None, lanes.wide), wide, *more, False)))
+
+
+def _attached(lanes: Lanes, source: DataFrame, keys: Sequence[str], measures: Sequence[Measure], features: Sequence[Feature],
+              distincts: Sequence[Distinct], stored: "Stored | None", local: bool) -> DataFrame:
+    table = bucket_table(source.repartition(*keys) if local else source, keys, measures, distincts, stored)
     if stored is not None:
         table = with_stored(table, keys, measures, distincts, stored)
-    # Placed once by entity: every frame below then works on local data.
-    table = table.withColumns({f"_{u}": times.index_of_tick(F.col(TICK), u) for u in UNITS}).repartition(*keys)
+    table = table.withColumns({f"_{u}": times.index_of_tick(F.col(TICK), u) for u in UNITS})
+    if not local:       # placed once by entity: every frame below then works on local data
+        table = table.repartition(*keys)
     every = [*features, *[distinct_feature(d, keys) for d in distincts]]
     early = {name: column for f in every for name, column in f.bucket.items()}
     late = {name: column for f in every for name, column in f.late.items()}
@@ -224,12 +237,13 @@ def attach(rows: DataFrame, source: DataFrame, keys: Sequence[str], measures: Se
     if distincts and any(m.name == "n" for m in measures):
         table = table.filter(F.col("n").isNotNull())        # buckets in which members only leave are no row's
     table = table.select(*keys, TICK, *bucket_columns)
+    if not local:       # as the rows are
+        table = table.repartition(*keys, TICK)
 
     # rows without a key are no entity: they see no bucket and none of one another
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     here = {f"_p_{m.name}": (m.fn, F.when(known, m.value)) for m in measures}
     here.update({f"_p_in_{d.name}": ("sum", enters_now(d, keys)) for d in distincts})
-    lanes = into_lanes(rows.withColumn(TICK, times.index(F.col("ms"), "tick")), keys, ARRIVAL, heavy)
     joined = (running(lanes, [*keys, TICK], ARRIVAL, here).done()
               .join(table, [*keys, TICK], "left"))
     if before:

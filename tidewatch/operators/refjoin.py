@@ -41,9 +41,11 @@ LIST_FLAGS = (
 )
 
 
-def with_list_flags(rows: DataFrame, lists: DataFrame, dated: bool = False) -> DataFrame:
+def with_list_flags(rows: DataFrame, lists: DataFrame, dated: bool = False, about: str | None = None) -> DataFrame:
+    """The flags of all lists, or of those that are `about` one column."""
     for name, column, flag in LIST_FLAGS:
-        rows = with_flag(rows, lists, name, column, flag, dated)
+        if about in (None, column):
+            rows = with_flag(rows, lists, name, column, flag, dated)
     return rows
 
 

@@ -252,13 +252,13 @@ DEVICE_USERS = Distinct("device_distinct_customers", "customer_id", "day", 95, "
 def with_customer_signals(rows: DataFrame, source: DataFrame, heavy: HeavyKeys = HeavyKeys(),
                           guards: Guards = Guards(), more: Sequence[Feature] = (),
                           more_measures: Sequence[Measure] = (), distinct: bool = True,
-                          stored: Stored | None = None) -> DataFrame:
+                          stored: Stored | None = None, local: bool = False) -> DataFrame:
     """Declines, amount anomaly and trend, velocity and dormancy; distinct payees need the pair state."""
     features = [*_decline_features(CUSTOMER), _zscore_feature(CUSTOMER, guards),
                 *_velocity_features(CUSTOMER, guards), _dormancy_feature(CUSTOMER),
                 _trend_feature(CUSTOMER, guards), *more]
     return attach(rows, source, CUSTOMER, [*customer_measures(), *more_measures], features,
-                  (PAYEES_24H, PAYEES_90D) if distinct else (), heavy, stored)
+                  (PAYEES_24H, PAYEES_90D) if distinct else (), heavy, stored, local)
 
 
 # --- payees and devices ----------------------------------------------------------------------------
@@ -283,17 +283,19 @@ def _surge_feature(name: str, keys, guards: Guards) -> Feature:
 
 
 def with_payee_signals(rows: DataFrame, source: DataFrame, heavy: HeavyKeys = HeavyKeys(),
-                       guards: Guards = Guards(), distinct: bool = True, stored: Stored | None = None) -> DataFrame:
+                       guards: Guards = Guards(), distinct: bool = True, stored: Stored | None = None,
+                       local: bool = False) -> DataFrame:
     return attach(rows, source, PAYEE, [Measure("n", "sum", F.lit(1))],
                   [_surge_feature("bene_surge", PAYEE, guards)],
-                  (SENDERS_24H, SENDERS_90D) if distinct else (), heavy, stored)
+                  (SENDERS_24H, SENDERS_90D) if distinct else (), heavy, stored, local)
 
 
 def with_device_signals(rows: DataFrame, source: DataFrame, heavy: HeavyKeys = HeavyKeys(),
-                        guards: Guards = Guards(), distinct: bool = True, stored: Stored | None = None) -> DataFrame:
+                        guards: Guards = Guards(), distinct: bool = True, stored: Stored | None = None,
+                       local: bool = False) -> DataFrame:
     return attach(rows, source, DEVICE, [Measure("n", "sum", F.lit(1))],
                   [_surge_feature("device_surge", DEVICE, guards)],
-                  (DEVICE_USERS,) if distinct else (), heavy, stored)
+                  (DEVICE_USERS,) if distinct else (), heavy, stored, local)
 
 
 def with_safe_defaults(rows: DataFrame, ok: Column | None = None) -> DataFrame:

@@ -46,6 +46,16 @@ class HeavyKeys:
     def of(self, keys: Sequence[str]) -> tuple[int, ...]:
         return self.hashes.get(tuple(sorted(keys)), ())
 
+    def but(self, keys: Sequence[str]) -> "HeavyKeys":
+        """The same for rows that have no heavy key of one key set."""
+        own = tuple(sorted(keys))
+        return HeavyKeys(self.policy, {k: v for k, v in self.hashes.items() if k != own}, {k: v for k, v in self.rows.items() if k != own})
+
+    def split(self, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """Rows of light keys, and those of heavy ones."""
+        is_heavy = key_hash(keys).isin(*self.of(keys))
+        return df.filter(~is_heavy), df.filter(is_heavy)
+
     def lanes(self, df: DataFrame, keys: Sequence[str]) -> int:
         """The lanes of the policy, or more where each would have more than LANE_ROWS rows."""
         return max(lane_count(df, self.policy), -(-self.rows.get(tuple(sorted(keys)), 0) // LANE_ROWS))
@@ -114,12 +124,17 @@ def ranged(df: DataFrame, order: Sequence[str], lanes: int) -> DataFrame:
 
 
 def into_lanes(df: DataFrame, keys: Sequence[str], order: Sequence[str], heavy: HeavyKeys) -> Lanes:
-    hashes = heavy.of(keys)
-    if not hashes:
+    if not heavy.of(keys):
         return Lanes(df)
-    is_heavy = key_hash(keys).isin(*hashes)
-    return Lanes(df.filter(~is_heavy),
-                 ranged(df.filter(is_heavy), [*keys, *order], heavy.lanes(df, keys)))
+    # Both parts read the rows: what makes them would run for each, at every step of a chain once more than before.
+    light, wide = heavy.split(pinned(df), keys)
+    return Lanes(light, ranged(wide, [*keys, *order], heavy.lanes(df, keys)))
+
+
+def placed(df: DataFrame, keys: Sequence[str], heavy: HeavyKeys) -> DataFrame:
+    """Rows shuffled once by `keys` alone, where windows over those and further keys and joins on them then find their
+    rows. Heavy keys would be one task each, so such rows stay where they are."""
+    return df if heavy.of(keys) else df.repartition(*keys)
 
 
 def all_lanes(df: DataFrame, order: Sequence[str], policy: SkewPolicy | None = None) -> Lanes:

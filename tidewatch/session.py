@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +17,12 @@ TASK_BYTES, FINER = "8m", 4
 # Input rows for each part that a shuffle is written in: adaptive execution joins parts but cuts none, so their number
 # has to follow the input.
 PART_ROWS = 25_000
+# Spark's own setting that drops a query's shuffle files when it ends, not when the driver collects its garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# The setting that names the parts a shuffle is written in.
+PARTS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+# Paths of pinned tables that go when the block they were written in ends.
+_PINS: ContextVar[list[str] | None] = ContextVar("pins", default=None)
 
 
 def build_session(app: str = "tidewatch", cores: int | None = None, **conf: str) -> SparkSession:
@@ -47,11 +56,19 @@ def build_session(app: str = "tidewatch", cores: int | None = None, **conf: str)
     return sized(builder.getOrCreate())
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """Parts that a shuffle is written in; `sized` makes them follow the rows."""
+    return int(spark.conf.get(PARTS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def sized(spark: SparkSession, rows: int = 0) -> SparkSession:
     """The session with shuffle tasks of bounded size for inputs of up to `rows` rows: more rows make more tasks, not larger ones."""
     parts = max(FINER * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
+    spark.conf.set(PARTS, str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+    # Rows and tables that are placed by an entity are joined on entity and time where they are.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return spark
 
 
@@ -75,7 +92,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Queries that are written inside drop their shuffle files when they end."""
+    before = spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
+@contextmanager
+def pins_dropped(spark: SparkSession) -> Iterator[None]:
+    """Tables pinned inside are deleted when the block ends: nothing may read them later."""
+    token = _PINS.set([])
+    try:
+        yield
+    finally:
+        paths = _PINS.get()
+        _PINS.reset(token)
+        for path in paths:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """Write `df` once to reliable storage, so every later read sees the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once to the shared folder as Parquet, so every later read sees the same rows."""
+    spark = df.sparkSession
+    path = scratch(spark, "pinned")
+    if _PINS.get() is not None:
+        _PINS.get().append(path)
+    with freeing(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
