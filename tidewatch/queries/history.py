@@ -9,9 +9,11 @@ from tidewatch.operators import signals
 from tidewatch.operators.history import ARRIVAL, attach
 from tidewatch.operators.metrics import key_sets, with_metrics
 from tidewatch.operators.signals import CUSTOMER, Guards, heavy_keys
+from tidewatch.operators.skew import placed
 from tidewatch.operators.windows import (replay_decisions, with_idle_count, with_idle_members,
                                          with_recent_count, with_recent_members)
 from tidewatch.queries.common import order_sql, prior, txn_sql
+from tidewatch.session import pinned
 from tidewatch.sources.tables import event_transactions, order_transactions
 
 BUSY = 10    # customers, for signals that need a busy history
@@ -189,11 +191,13 @@ register("device_distinct_customers", distinct_query(
 
 
 def order_distinct_senders(spark, folder):
-    txns = order_transactions(spark, folder)
+    # Lines and orders are joined once, and what the counts need is written: the line's text as its id is most of it.
+    txns = pinned(order_transactions(spark, folder).select(
+        "transaction_id", "ms", "customer_id", "receiver_account", "device_fingerprint", "amount_base"))
     heavy = heavy_keys(txns)
-    rows = signals.with_pair_state(txns, heavy)
+    rows = signals.with_pair_state(placed(txns, signals.PAYEE, heavy), heavy)
     return rounded(attach(rows, txns, signals.PAYEE, signals.amount_measures()[:1], (), (signals.SENDERS_90D,),
-                          heavy), "bene_distinct_senders_90d")
+                          heavy, local=not heavy.of(signals.PAYEE)), "bene_distinct_senders_90d")
 
 
 # Months before the current one come from (payee, month) sets, the running month row by row.
